@@ -206,3 +206,20 @@ def detail_fields(p: Column) -> dict[str, Column]:
         "logo_url": F.concat(F.lit(POSTER_BASE), logo),
         "certification": certification(p, anywhere=False),
     }
+
+
+def parameter_hash(parameters: dict[str, Column]) -> Column:
+    """md5 of request parameters as JSON text, names in order. Text values are
+    quoted, numbers are not."""
+    parts = []
+    for name in sorted(parameters):
+        value = parameters[name]
+        shown = F.coalesce(value.cast("string"), F.lit("null"))
+        parts.append(F.concat(F.lit(f'"{name}": '), shown))
+    return F.md5(F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}")))
+
+
+def json_text(c: Column) -> Column:
+    """A text value as it stands in JSON."""
+    wrapped = F.to_json(F.struct(c.alias("v")))
+    return F.substr(wrapped, F.lit(6), F.length(wrapped) - 6)

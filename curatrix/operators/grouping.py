@@ -42,7 +42,7 @@ def merged_lists(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
             )
         ).alias("e"),
     ).select(key, F.col("e.column").alias("column"), F.explode("e.v").alias("value"))
-    distinct = long.where(F.col("value").isNotNull()).groupBy(key, "column", "value").agg()
+    distinct = long.where(F.col("value").isNotNull()).distinct()
     return distinct.groupBy(key).agg(
         *[
             F.array_sort(

@@ -5,7 +5,7 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.text import empty_if_null
 from ..session import lookup_join
@@ -120,7 +120,7 @@ def reference_items(items: DataFrame, queries: DataFrame, vectors: DataFrame) ->
     return keep_one(with_vector, ["query_id"], ["pos"])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Sequence-matcher ratio of two texts."""
     return pd.Series(

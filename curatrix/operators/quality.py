@@ -66,10 +66,7 @@ def distinct_values(df: DataFrame, approximate: bool = False) -> DataFrame:
             )
         ).alias("e")
     ).select("e.*")
-    return (
-        long.groupBy("column", "value").agg().groupBy("column")
-        .agg(F.count("*").alias("distinct_count"))
-    )
+    return long.distinct().groupBy("column").agg(F.count("*").alias("distinct_count"))
 
 
 def _comparable(df: DataFrame, c: str) -> Column:

@@ -29,7 +29,7 @@ def read_delimited(
     files have no quoting; broken rows are kept as nulls, with their text in
     `corrupt` when that column is in the schema. Everything is read as text
     where tokens can hide nulls, then cast leniently."""
-    wanted = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     as_text = T.StructType([T.StructField(f.name, T.StringType()) for f in wanted])
     reader = (
         spark.read.schema(as_text)
@@ -55,9 +55,9 @@ def read_delimited(
     )
 
 
-def spread_gzip(df: DataFrame, partitions: int | None = None) -> DataFrame:
-    """A gzip file is one split; spread its rows once after the scan."""
-    return df.repartition(partitions) if partitions else df.repartition()
+def spread_gzip(df: DataFrame) -> DataFrame:
+    """A gzip file is one split; let its rows be rebalanced after the scan."""
+    return df.hint("rebalance")
 
 
 def read_parquet(spark: SparkSession, path, columns: list[str] | None = None) -> DataFrame:
@@ -66,7 +66,7 @@ def read_parquet(spark: SparkSession, path, columns: list[str] | None = None) ->
 
 
 def dialects(spark: SparkSession, path, pattern: str = "*") -> DataFrame:
-    """(file, encoding, delimiter) for every file below a path, judged on the
+    """(folder, file, encoding, delimiter) for every file below a path, judged on the
     first bytes: utf-8 when they decode, else latin-1, which always does; the
     most frequent delimiter of the header, else the default of the suffix."""
     files = (
@@ -100,6 +100,7 @@ def dialects(spark: SparkSession, path, pattern: str = "*") -> DataFrame:
                                  F.lit(d).alias("d")) for i, d in enumerate(DELIMITERS)])
     best = F.array_max(counted)
     return files.select(
+        F.element_at(F.split("path", "/"), -2).alias("folder"),
         name.alias("file"),
         F.when(utf8, "utf-8").otherwise("latin-1").alias("encoding"),
         F.when(best["n"] > 0, best["d"]).otherwise(default).alias("delimiter"),
