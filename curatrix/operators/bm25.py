@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import tokens
-from ..session import BROADCAST_ROWS, SALTS, fits
+from ..session import BROADCAST_ROWS, fits, salt_of, salts
 
 # Okapi constants; floor is the share of the mean idf given to
 # terms whose own idf is negative.
@@ -95,9 +95,9 @@ def bm25_scores(
     if small:
         hits = counts.join(F.broadcast(weights), "term")
     else:
-        spread = counts.withColumn("_salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS)))
+        spread = counts.withColumn("_salt", salt_of(id_col))
         copies = weights.withColumn(
-            "_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long")
+            "_salt", F.explode(salts())
         )
         hits = spread.join(copies, ["term", "_salt"])
     return hits.groupBy(id_col, "query_id").agg(F.sum(F.col("weight") * gain).alias("bm25"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 # Row bound under which a side may be broadcast (or brought to tasks whole).
@@ -43,6 +43,16 @@ def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
+def salts() -> Column:
+    """All salt values, to copy a small side over."""
+    return F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))
+
+
+def salt_of(column: str) -> Column:
+    """Salt of a row of the large side, by a column that is not the hot key."""
+    return F.pmod(F.xxhash64(column), F.lit(SALTS).cast("long"))
+
+
 def lookup_join(
     big: DataFrame,
     small: DataFrame,
@@ -58,8 +68,8 @@ def lookup_join(
         raise ValueError("lookup_join supports inner and left joins")
     if fits(small, max_rows):
         return big.join(F.broadcast(small), on, how)
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(SALTS)))
+    salted = big.withColumn("_salt", salt_of(spread_by))
     copies = small.withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long")
+        "_salt", F.explode(salts())
     )
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")

@@ -123,7 +123,7 @@ def asks_sql(d) -> str:
     case when item_id % 9 = 2 then {a("'heist'", "'large'")} else {none} end as themes,
     case item_id % 3 when 0 then {a("'red'", "'small'", "'k7'")} when 1 then {a("'hot'")}
       else {none} end as keywords,
-    case when item_id % 6 = 1 then {a("'red widget'", "'steel'")} else {none} end as similar,
+    case when item_id % 6 = 1 then {a("'red widget'", "'steel'")} else {none} end as refs,
     case when item_id % 6 = 5 then {a("'Supplier#000000003'", "'supplier#000000007'")}
       else {none} end as actors,
     case when item_id % 4 = 2 then {a("'Brand#' || cast(item_id % 25 + 1 as " + d.text + ")")}
