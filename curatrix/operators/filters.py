@@ -148,10 +148,14 @@ def _query_keys(i: Column, hard_genres: str) -> Column:
 
 
 def _met_by_facet(items: DataFrame, queries: DataFrame, hard_genres: str) -> DataFrame:
-    """Items with the queries they share an equality key with, each pair once."""
-    keyed_queries = queries.select(
+    """Items with the queries they share an equality key with, each pair once.
+    The query side is written first: it is small, it is read by every pass,
+    and the filter then works on plain columns instead of on copies of the
+    rules the intent was derived by."""
+    keyed = queries.select(
         "query_id", "intent", _query_keys(F.col("intent"), hard_genres).alias("_qk")
-    ).withColumn("_key", F.explode("_qk"))
+    )
+    keyed_queries = settle(keyed, "queries").withColumn("_key", F.explode("_qk"))
     keyed_items = items.withColumn("_ik", _item_keys()).withColumn("_key", F.explode("_ik"))
     met = lookup_join(keyed_items, keyed_queries, ["_key"], spread_by="item_id")
     return met.where(F.get(F.array_intersect("_qk", "_ik"), 0) == F.col("_key")).drop(

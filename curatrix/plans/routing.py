@@ -14,6 +14,7 @@ from ..functions.understanding import (
 )
 from ..operators.lookups import exact_titles, fuzzy_titles, validated_people
 from ..schema import make_intent
+from ..session import settle
 
 
 def route_queries(queries: DataFrame, items: DataFrame, fuzzy: bool = True) -> DataFrame:
@@ -48,8 +49,11 @@ def route_queries(queries: DataFrame, items: DataFrame, fuzzy: bool = True) -> D
 
 def understand(queries: DataFrame, items: DataFrame, fuzzy: bool = True) -> DataFrame:
     """Routing, theme expansion, people validation, label and pathway."""
-    routed = expand_themes(route_queries(queries, items, fuzzy))
-    checked = validated_people(items, routed)
+    # Written in between: later steps read the intent as plain columns instead
+    # of repeating the rules that made it.
+    routed = settle(route_queries(queries, items, fuzzy), "routed")
+    expanded = settle(expand_themes(routed), "expanded")
+    checked = validated_people(items, expanded)
     i = F.col("intent")
     return checked.withColumn("label", intent_label(i)).withColumn(
         "pathway", pathway(i, strict_last=True)

@@ -37,16 +37,27 @@ def text_scores(items: DataFrame, queries: DataFrame) -> DataFrame:
     )
 
 
+# What the filters and scores read; texts stay behind until the top is known.
+FACETS = [
+    "item_id", "title", "original_title", "genres", "keywords", "cast", "directors", "languages",
+    "release_year", "runtime_minutes",
+]
+
+
 def score_pairs(
     items: DataFrame, queries: DataFrame, vectors: DataFrame, query_vectors: DataFrame
 ) -> DataFrame:
     """(query, item) rows passing the filters, with semantic, bm25, metadata.
 
     vectors(item_id, vector), query_vectors(query_id, vector). BM25 statistics
-    come from all items; only items with a vector are candidates."""
+    come from all items; only items with a vector are candidates. The scored
+    item table is written once, as the pairs over it are read twice: for the
+    bounds of the scores and for the scores."""
     scored = text_scores(items, queries)
     unit = vectors.select("item_id", l2_normalise(F.col("vector")).alias("vector"))
-    with_vector = items.join(unit, "item_id").join(scored, "item_id", "left")
+    with_vector = settle(
+        items.select(*FACETS).join(unit, "item_id").join(scored, "item_id", "left"), "scored"
+    )
     asked = query_vectors.select(
         "query_id", l2_normalise(F.col("vector")).alias("query_vector")
     )
@@ -55,7 +66,7 @@ def score_pairs(
     return (
         pairs.withColumn("bm25", F.coalesce(bm25, F.lit(0.0)))
         .withColumn("metadata", metadata_match(F.col("intent")))
-        .drop("vector", "query_vector", "bm25_by_query")
+        .select("query_id", "intent", "item_id", "semantic", "bm25", "metadata")
     )
 
 
@@ -71,7 +82,8 @@ def retrieve(
         loose = queries
     fused = fuse(score_pairs(items, loose, vectors, query_vectors))
     fused = fused.withColumn("fusion", F.round("fusion", 10))
-    return top_k(fused, ["query_id"], [F.desc("fusion"), F.asc("item_id")], k)
+    top = top_k(fused, ["query_id"], [F.desc("fusion"), F.asc("item_id")], k)
+    return items.join(top, "item_id")
 
 
 def reference_vectors(
@@ -98,6 +110,8 @@ def funnel(
     """Three stages, 50 -> 15 -> limit: fused retrieval, narrowing by two
     lists, weighted ranking with diversity. The original intent ranks."""
     stage_1 = retrieve(items, queries, vectors, query_vectors, STAGE_1, limit, relaxing)
+    # Fifty rows per query.
+    stage_1 = settle(stage_1, "stage")
     return rank_and_diversify(narrow(stage_1), queries, limit)
 
 
@@ -136,7 +150,8 @@ def audit(
             F.round(F.col(score).cast("double"), 4).alias("score"),
         )
 
-    stage_1 = top_k(fused, ["query_id"], [F.desc("fusion"), F.asc("item_id")], STAGE_1)
+    top = top_k(fused, ["query_id"], [F.desc("fusion"), F.asc("item_id")], STAGE_1)
+    stage_1 = settle(items.join(top, "item_id"), "stage")
     stage_2 = narrow(stage_1)
     final = rank_and_diversify(stage_2, queries, limit)
     parts = [

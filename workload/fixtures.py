@@ -472,8 +472,6 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ask_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query vectors: the supplied vector of the same number."""
-    return (
-        vectors(spark, sf_dir)
-        .withColumnRenamed("item_id", "query_id")
-        .join(asks(spark, sf_dir).select("query_id"), "query_id", "left_semi")
-    )
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"))
+    named = vectors(spark, sf_dir).withColumnRenamed("item_id", "query_id")
+    return named.join(asked, "query_id", "left_semi")

@@ -8,6 +8,7 @@ from curatrix.operators import evaluation as V, filters as L, lookups as K
 from curatrix.operators.fusion import fuse, metadata_match
 from curatrix.operators.grouping import first_wins, narrow_two_lists, top_k
 from curatrix.plans import assembly as A, search as H, similar as M
+from curatrix.session import settle
 
 from . import query
 from .catalogue import SEARCH_TEXT
@@ -123,13 +124,14 @@ def fused_sql(relaxed: bool = True) -> str:
     return (
         cte("items", "asks").rstrip() + ",\n"
         + f"""docs as (select item_id as id, {SEARCH_TEXT} as text from items),
+      {level},
       loose as (select q.*, v.relax_level, {genres} as used_genres from asks q
         join level v on v.query_id = q.query_id),
       asked as (select query_id, concat_ws(' ', text, array_to_string(used_genres, ' '),
         array_to_string(moods, ' '), array_to_string(themes, ' '), array_to_string(keywords, ' '),
         array_to_string(refs, ' '), array_to_string(actors, ' '),
         array_to_string(directors, ' ')) as text from loose),
-      {level}, {bm25_ctes('docs', 'asked')}, {_UNIT},
+      {bm25_ctes('docs', 'asked')}, {_UNIT},
       pairs as (select q.query_id, i.item_id,
           coalesce(greatest(-1.0, least(1.0, list_dot_product(u.v, w.v))), 0) as semantic,
           coalesce(s.score, 0) as bm25, {meta} as metadata
@@ -154,8 +156,18 @@ def fused_sql(relaxed: bool = True) -> str:
     )
 
 
+def catalogue(spark, sf):
+    """The item table as it is served: written once, then read."""
+    return settle(items(spark, sf), "items")
+
+
+def asked(spark, sf):
+    return settle(asks(spark, sf), "asks")
+
+
 def _inputs(spark, sf):
-    return items(spark, sf), asks(spark, sf), vectors(spark, sf), ask_vectors(spark, sf)
+    v = vectors(spark, sf)
+    return catalogue(spark, sf), asked(spark, sf), v, ask_vectors(spark, sf)
 
 
 @query(
