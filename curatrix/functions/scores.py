@@ -112,7 +112,8 @@ def dot(a: Column, b: Column) -> Column:
         a.cast("array<double>"), b.cast("array<double>"), lambda x, y: x * y
     )
     s = F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), s))
+    # least and greatest skip nulls, so a missing vector is kept null here.
+    return F.when(s.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), s)))
 
 
 def minmax(value: Column, low: Column, high: Column, n: Column) -> Column:

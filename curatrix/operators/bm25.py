@@ -12,24 +12,28 @@ from ..session import BROADCAST_ROWS, fits, salt_of, salts
 K1, B, FLOOR = 1.5, 0.75, 0.25
 
 
-def term_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, doc_len, term, tf). Documents are spread by id once; every later
-    grouping that contains the id reuses that partitioning."""
+def tokenised(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, words), cut into words once and spread by id once: the statistics
+    and the counts read the same exchange, and every later grouping that
+    contains the id reuses its partitioning."""
+    words = docs.select(id_col, tokens(F.col(text_col)).alias("words"))
+    return words.repartition(F.col(id_col))
+
+
+def term_counts(words: DataFrame, id_col: str) -> DataFrame:
+    """(id, doc_len, term, tf)."""
     return (
-        docs.select(F.col(id_col), F.col(text_col))
-        .repartition(F.col(id_col))
-        .select(id_col, tokens(F.col(text_col)).alias("_t"))
-        .select(id_col, F.size("_t").alias("doc_len"), F.explode("_t").alias("term"))
+        words.select(id_col, F.size("words").alias("doc_len"), F.explode("words").alias("term"))
         .groupBy(id_col, "doc_len", "term")
         .agg(F.count("*").alias("tf"))
     )
 
 
-def corpus_size(docs: DataFrame, text_col: str) -> DataFrame:
+def corpus_size(words: DataFrame) -> DataFrame:
     """One row: number of documents and mean length, empty ones included."""
-    return docs.agg(
+    return words.agg(
         F.count("*").alias("n_docs"),
-        F.avg(F.size(tokens(F.col(text_col))).cast("double")).alias("avg_len"),
+        F.avg(F.size("words").cast("double")).alias("avg_len"),
     )
 
 
@@ -76,10 +80,11 @@ def bm25_scores(
     it where they lie and the per-document sums need no further shuffle.
     Larger query tables are joined by (term, salt): each query term is copied
     to all salts and postings are spread over them by document."""
-    size = corpus_size(docs, text_col)
+    words = tokenised(docs, id_col, text_col)
+    size = corpus_size(words)
     n_docs = size.select("n_docs").scalar()
     avg_len = size.select("avg_len").scalar()
-    counts = term_counts(docs, id_col, text_col)
+    counts = term_counts(words, id_col)
     wanted = query_terms(queries, query_text)
     small = fits(wanted, max_broadcast)
     vocabulary = term_weights(document_frequency(counts), n_docs)

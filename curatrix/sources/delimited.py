@@ -60,6 +60,13 @@ def spread_gzip(df: DataFrame) -> DataFrame:
     return df.hint("rebalance")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Rows of a plain scan over all cores when the files have fewer splits
+    than that and the work per row is heavy; a larger scan stays as it is."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def read_parquet(spark: SparkSession, path, columns: list[str] | None = None) -> DataFrame:
     df = spark.read.parquet(path)
     return df.select(*columns) if columns else df

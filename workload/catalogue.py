@@ -207,7 +207,8 @@ MERGED = (
       md5(overview) as overview, md5(plot_summary) as plot_summary, runtime_minutes, release_year,
       source_dataset, tagline, vote_count, genres, people, directors, writers,
       production_companies, languages, keywords,
-      round(cast(cast(rating_value as float) as double), 3) as rating_value from merged""",
+      floor(cast(cast(rating_value as float) as double) * 1000 + 0.51) / 1000 as rating_value
+      from merged""",
 )
 def merged_catalogue(spark, sf):
     s = sources(spark, sf)
@@ -218,7 +219,8 @@ def merged_catalogue(spark, sf):
         "runtime_minutes", "release_year", "source_dataset", "tagline", "vote_count",
         *joined("genres", "directors", "writers", "production_companies", "languages", "keywords"),
         F.array_join("cast", "|").alias("people"),
-        F.round(F.col("rating_value").cast("double"), 3).alias("rating_value"),
+        # Means sit on the halves; the cut is moved off them, as sums differ by order.
+        (F.floor(F.col("rating_value").cast("double") * 1000 + 0.51) / 1000).alias("rating_value"),
     )
 
 

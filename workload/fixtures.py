@@ -11,6 +11,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from curatrix.schema import make_intent
+from curatrix.sources.delimited import spread
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -94,9 +95,9 @@ def items_sql(d) -> str:
   left join (
     select n.l_partkey, n.rating, n.votes, n.popularity, c.people
     from (
-      select l_partkey, round(sum(l_quantity) / count(*) / 5, 2) as rating,
+      select l_partkey, floor(sum(l_quantity) / count(*) / 5 * 100 + 0.5) / 100 as rating,
         cast(sum(l_quantity) as bigint) as votes,
-        round(max(l_extendedprice) / 1000, 3) as popularity
+        floor(max(l_extendedprice) + 0.5) / 1000 as popularity
       from {t('lineitem')} group by l_partkey
     ) n join (
       select k.l_partkey, {d.gathered('s.s_name')} as people
@@ -239,7 +240,7 @@ def raw_titles_sql(d) -> str:
 def raw_title_ratings_sql(d) -> str:
     return f"""
     select {_id(d, 'l_partkey', 'tt')} as tconst,
-      cast(round(sum(l_quantity) / count(*) / 5, 1) as {d.text}) as averageRating,
+      cast(floor(sum(l_quantity) / count(*) / 5 * 10 + 0.5) / 10 as {d.text}) as averageRating,
       case when l_partkey % 41 = 0 then 'many'
         else cast(cast(floor(sum(l_quantity) / 10) as bigint) as {d.text}) end as numVotes
     from {d.table('lineitem')} group by l_partkey"""
@@ -285,7 +286,7 @@ def raw_metadata_sql(d) -> str:
       cast(80 + p.p_partkey % 60 as {d.text}) as runtime,
       case when p.p_partkey % 11 = 0 then '1990/01/02'
         else cast(1970 + p.p_size as {d.text}) || '-05-01' end as release_date,
-      cast(round(p.p_retailprice / 300, 1) as {d.text}) as vote_average,
+      cast(floor(p.p_retailprice / 300 * 10 + 0.5) / 10 as {d.text}) as vote_average,
       cast(p.p_size * 10 as {d.text}) as vote_count,
       cast(p.p_size as double) / 4 as popularity,
       '[{{"name": "Ocean{d.quote}s Studio", "id": 3}}, {{"name": "B"}}]' as production_companies,
@@ -460,7 +461,7 @@ def asks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query log (query_id, user_id, text, ts)."""
-    return _derived(spark, sf_dir, "log")
+    return spread(_derived(spark, sf_dir, "log"))
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

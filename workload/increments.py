@@ -8,6 +8,7 @@ from curatrix.operators import latest as L
 from curatrix.plans import embedding as B, enrichment as E
 from curatrix.session import scratch_path
 from curatrix.sources import sinks
+from curatrix.sources.delimited import spread
 from curatrix.streaming import incremental as S
 
 from . import query
@@ -15,10 +16,11 @@ from .fixtures import cte, full_items, items, log, table
 
 
 def _documents(spark, sf):
-    return table(spark, sf, "documents").select(
+    docs = table(spark, sf, "documents").select(
         F.col("doc_id").alias("item_id"), F.col("text").alias("document"),
         F.col("n_chars").alias("popularity"),
     )
+    return spread(docs)
 
 
 @query("e1_encode_documents")

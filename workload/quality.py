@@ -10,6 +10,7 @@ from curatrix.functions.text import title_id
 from curatrix.operators import integrity as R, quality as Q
 from curatrix.operators.grouping import duplicate_members
 from curatrix.operators.quality import CRITICAL, HIGH, MEDIUM, Rule
+from curatrix.session import settle
 
 from . import query
 from .fixtures import cte, full_items, items, raw, table
@@ -144,7 +145,7 @@ _FLAWED = """, flawed as (select item_id, case when item_id % 9 = 0 then '  '
 
 def flawed(spark, sf) -> DataFrame:
     c, k = F.col, F.col("item_id")
-    return full_items(spark, sf).withColumns(
+    return settle(full_items(spark, sf), "items").withColumns(
         {
             "title": F.when(k % 9 == 0, "  ").when(k % 17 == 0, None).otherwise(c("title")),
             "imdb_id": F.when(k % 6 == 1, F.concat(F.lit("tt"), k.cast("string")))

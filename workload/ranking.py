@@ -307,8 +307,8 @@ _PENALTY = f"""(case when len(pg) > 0 and {n('pg', 'g')} = 0 then 0.5 else 0 end
     + case when r > 0 and r < 4 then 0.3 else 0 end
     + case when v > 0 and v < 10 then 0.2 else 0 end)"""
 _MATCH = f"""round(least(0.99, greatest(0.65, 0.65 + 0.34 * (case when exact_year is not null
-    then raw * 0.9 + 0.1 * coalesce(greatest(0.0, 1.0 - abs(release_year - exact_year) / 10.0),
-    1.0) else raw end))), 4)"""
+    then raw * 0.9 + 0.1 * case when release_year is null then 1.0
+    else greatest(0.0, 1.0 - abs(release_year - exact_year) / 10.0) end else raw end))), 4)"""
 _RAW = f"""(0.35 * least(1.0, greatest(0.0, (semantic - 0.15) / 0.50))
     + 0.20 * {share('g', 'pg', 1.0)} + 0.15 * {share('k', 'pk', 1.0)}
     + 0.10 * cast(len(pd) = 0 or {n('d', 'pd')} > 0 as int)

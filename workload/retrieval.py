@@ -133,7 +133,8 @@ def fused_sql(relaxed: bool = True) -> str:
         array_to_string(directors, ' ')) as text from loose),
       {bm25_ctes('docs', 'asked')}, {_UNIT},
       pairs as (select q.query_id, i.item_id,
-          coalesce(greatest(-1.0, least(1.0, list_dot_product(u.v, w.v))), 0) as semantic,
+          case when w.v is null then 0.0 else greatest(-1.0, least(1.0,
+          list_dot_product(u.v, w.v))) end as semantic,
           coalesce(s.score, 0) as bm25, {meta} as metadata
         from loose q join level v on v.query_id = q.query_id join items i on {ok}
         join unit u on u.vec_id = i.item_id
@@ -254,7 +255,8 @@ _PLAIN = (
       asked as (select item_id as query_id, text from benchmark),
       {bm25_ctes('docs', 'asked')}, {_UNIT},
       pairs as (select q.query_id, i.item_id,
-        coalesce(greatest(-1.0, least(1.0, list_dot_product(u.v, w.v))), 0) as semantic,
+        case when w.v is null then 0.0 else greatest(-1.0, least(1.0,
+          list_dot_product(u.v, w.v))) end as semantic,
         coalesce(s.score, 0) as bm25 from asked q join items i
         on not list_contains(i.genres, 'Documentary') join unit u on u.vec_id = i.item_id
         left join unit w on w.vec_id = q.query_id

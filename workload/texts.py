@@ -9,6 +9,7 @@ from curatrix.functions.text import tokens
 from curatrix.operators import bm25 as B
 from curatrix.operators.grouping import top_k
 from curatrix.operators.vectors import nearest
+from curatrix.sources.delimited import spread
 
 from . import query
 from .fixtures import cte, items, table, vectors
@@ -45,7 +46,7 @@ def bm25_ctes(docs: str, asked: str) -> str:
 
 
 def _docs(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", "text")
+    return spread(table(spark, sf, "documents").select("doc_id", "text"))
 
 
 @query(
@@ -75,8 +76,9 @@ _CORPUS = "with d as (select doc_id as id, text from documents), "
 )
 def a24(spark, sf):
     docs = _docs(spark, sf)
-    size = B.corpus_size(docs, "text")
-    freq = B.document_frequency(B.term_counts(docs, "doc_id", "text"))
+    words = B.tokenised(docs, "doc_id", "text")
+    size = B.corpus_size(words)
+    freq = B.document_frequency(B.term_counts(words, "doc_id"))
     weights = B.term_weights(freq, size.select("n_docs").scalar())
     return weights.select(
         "term",
