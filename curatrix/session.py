@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 # Row bound under which a side may be broadcast (or brought to tasks whole).
 BROADCAST_ROWS = 100_000
+# Private folders of applications without a shared one.
+_PRIVATE: dict[str, str] = {}
 # Copies of the small side when it is too large to broadcast.
 SALTS = 16
 
@@ -19,8 +21,10 @@ def shared_dir(spark: SparkSession) -> str:
     is made only when the setting is absent (tests, laptops)."""
     root = spark.conf.get(CHECKPOINT_KEY, None)
     if not root:
-        root = "file:" + tempfile.mkdtemp(prefix="curatrix-")
-        spark.conf.set(CHECKPOINT_KEY, root)
+        app = spark.sparkContext.applicationId
+        if app not in _PRIVATE:
+            _PRIVATE[app] = "file:" + tempfile.mkdtemp(prefix="curatrix-")
+        root = _PRIVATE[app]
     return root.rstrip("/")
 
 

@@ -463,16 +463,18 @@ _REASON = f"""case ranking_mode
     + ", m as (select *, "
     + ", ".join(f"{x} as p_{name}" for name, x in _PARTS.items())
     + f""" from p)
-      select query_id, item_id, round(greatest(0.0, {_PROFILE}
+      select query_id, item_id, floor(1e6 * greatest(0.0, {_PROFILE}
         + case when awards is not null and ranking_mode <> 'best' then 0.10 * p_award else 0 end
         + case when novelty = 'classic' and ranking_mode <> 'classic' then 0.15 * p_classic
           when novelty = 'recent' and ranking_mode <> 'recent' then 0.15 * p_recent else 0 end
-        - case when len(pg) > 0 and {n('pg', 'g')} = 0 then 0.5 else 0 end), 7) as score,
+        - case when len(pg) > 0 and {n('pg', 'g')} = 0 then 0.5 else 0 end) + 0.503) / 1e6 as score,
         {_REASON} as reason from m""",
 )
 def r5(spark, sf):
     done = K.profile_scores(pairs(spark, sf))
-    return done.select("query_id", "item_id", F.round("score", 7).alias("score"), "reason")
+    # Cut off the halves, where sums of different order may round apart.
+    score = F.floor(F.col("score") * 1e6 + 0.503) / 1e6
+    return done.select("query_id", "item_id", score.alias("score"), "reason")
 
 
 @query(
