@@ -72,9 +72,11 @@ def bm25_scores(
     text_col: str,
     query_text: str,
     max_broadcast: int = BROADCAST_ROWS,
+    candidates: DataFrame | None = None,
 ) -> DataFrame:
     """(query_id, id, bm25) for every pair sharing a term. Pairs without one
-    score 0 and are left to the caller's outer join.
+    score 0 and are left to the caller's outer join. With candidates(id) only
+    their scores are computed; the statistics still cover all documents.
 
     The (query, term) table is broadcast while it is small, so postings meet
     it where they lie and the per-document sums need no further shuffle.
@@ -97,6 +99,8 @@ def bm25_scores(
         * (K1 + 1)
         / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / avg_len))
     )
+    if candidates is not None:
+        counts = counts.join(candidates.select(id_col).distinct(), id_col, "left_semi")
     if small:
         hits = counts.join(F.broadcast(weights), "term")
     else:

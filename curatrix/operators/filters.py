@@ -203,6 +203,8 @@ def relax(items: DataFrame, queries: DataFrame, limit: int = 50) -> DataFrame:
         _counted(items, queries).withColumn("_short", (F.col("_n") < threshold) & loosenable),
         "relax",
     )
+    if first.where(short).isEmpty():
+        return first.select(*columns, F.lit(0).alias("relax_level"))
     none = F.array().cast("array<string>")
     no_genres = first.where(short).withColumn("intent", with_intent(i, genres=none))
     second = settle(

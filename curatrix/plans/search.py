@@ -23,7 +23,7 @@ from ..session import settle
 STAGE_1, STAGE_2_HEAD, STAGE_2, AUDIT = 50, 10, 15, 100
 
 
-def text_scores(items: DataFrame, queries: DataFrame) -> DataFrame:
+def text_scores(items: DataFrame, queries: DataFrame, candidates: DataFrame) -> DataFrame:
     """(item_id, bm25_by_query): BM25 of each item per query as a map, so the
     scores join items once by id and never as (query, item) pairs. A map holds
     at most one entry per query of the table."""
@@ -31,7 +31,7 @@ def text_scores(items: DataFrame, queries: DataFrame) -> DataFrame:
     asked = queries.select(
         "query_id", query_search_text(F.col("text"), F.col("intent")).alias("q")
     )
-    scores = bm25_scores(docs, asked, "item_id", "text", "q")
+    scores = bm25_scores(docs, asked, "item_id", "text", "q", candidates=candidates)
     return scores.groupBy("item_id").agg(
         F.map_from_entries(F.collect_list(F.struct("query_id", "bm25"))).alias("bm25_by_query")
     )
@@ -53,7 +53,7 @@ def score_pairs(
     come from all items; only items with a vector are candidates. The scored
     item table is written once, as the pairs over it are read twice: for the
     bounds of the scores and for the scores."""
-    scored = text_scores(items, queries)
+    scored = text_scores(items, queries, vectors)
     unit = vectors.select("item_id", l2_normalise(F.col("vector")).alias("vector"))
     with_vector = settle(
         items.select(*FACETS).join(unit, "item_id").join(scored, "item_id", "left"), "scored"
