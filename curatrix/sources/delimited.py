@@ -61,10 +61,10 @@ def spread_gzip(df: DataFrame) -> DataFrame:
 
 
 def spread(scan: DataFrame) -> DataFrame:
-    """Rows of a plain scan over all cores when the files have fewer splits
-    than that and the work per row is heavy; a larger scan stays as it is."""
+    """Rows over all cores when fewer files than cores feed heavy work per
+    row; a table of more files stays as it is. Only file names are looked at."""
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+    return scan.repartition(cores) if len(scan.inputFiles()) < cores else scan
 
 
 def read_parquet(spark: SparkSession, path, columns: list[str] | None = None) -> DataFrame:
