@@ -159,16 +159,15 @@ def find_licences(
         numbered("block", blocks),
         numbered("text", whole),
     )
+    least = min((len(g) for _, g in rows), default=0) * top / (2 * bottom - top)
+    words = F.split(normalised(F.col("u.raw")), " ")
+    # Exploding one-entry arrays keeps an expression from being copied into
+    # every later one that reads it.
     one = docs.select("_key", F.explode(units).alias("u")).select(
-        "_key", "u.unit", "u.number", F.split(normalised(F.col("u.raw")), " ").alias("words")
+        "_key", "u.unit", "u.number", F.explode(F.array(words)).alias("words")
     )
-    least = min((len(g) for _, g in rows), default=0) * top / (2 * bottom - top)
-    grammed = (
-        one.where(F.size("words") - 1 >= least)
-        .withColumn("grams", _bigrams(F.col("words")))
-        .drop("words")
-        .withColumn("n", F.size("grams"))
-        .where(F.col("n") > 0)
+    grammed = one.where(F.size("words") - 1 >= least).select(
+        "_key", "unit", "number", F.explode(F.array(_bigrams(F.col("words")))).alias("grams")
     )
     known = F.array(
         *[
@@ -180,20 +179,22 @@ def find_licences(
             for name, grams in rows
         ]
     )
+    n = F.size("grams")
     # 2 * min(a, b) / (a + b) bounds the coefficient of sets of a and b bigrams.
     fits = F.filter(
-        known,
-        lambda t: F.least(t["size"], F.col("n")) * (2 * bottom) >= (t["size"] + F.col("n")) * top,
+        known, lambda t: F.least(t["size"], n) * (2 * bottom) >= (t["size"] + n) * top
     )
     met = F.transform(
         fits,
         lambda t: F.struct(
             F.size(F.array_intersect(t["grams"], F.col("grams"))).alias("shared"),
-            (t["size"] + F.col("n")).alias("sizes"),
+            (t["size"] + n).alias("sizes"),
             t["licence"].alias("licence"),
         ),
     )
-    near = F.filter(met, lambda m: m["shared"] * (2 * bottom) >= m["sizes"] * top)
+    near = F.filter(
+        F.col("met"), lambda m: m["shared"] * (2 * bottom) >= m["sizes"] * top
+    )
     ranked = F.array_sort(
         F.transform(
             near,
@@ -205,10 +206,10 @@ def find_licences(
         )
     )
     return (
-        grammed.withColumn("best", F.get(ranked, F.lit(0)))
-        .where(F.col("best").isNotNull())
+        grammed.select("_key", "unit", "number", F.explode(F.array(met)).alias("met"))
+        .select("_key", "unit", "number", F.explode(F.slice(ranked, 1, 1)).alias("best"))
         .select(
-            quoted("_key").alias(key),
+            F.col("_key").alias(key),
             "unit",
             "number",
             F.col("best.licence").alias("licence"),
