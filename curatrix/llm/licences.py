@@ -249,7 +249,7 @@ worded as (
   from units),
 grammed as (
   select k, unit, number,
-    list_distinct(list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1])) as grams
+    list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as grams
   from worded where len(w) > 1),
 met as (
   select k, unit, number, licence, len(list_intersect(grams, known_grams)) as shared,

@@ -173,6 +173,8 @@ def build_postings(texts: list[str], wanted: np.ndarray) -> dict[int, np.ndarray
     ends = np.cumsum([len(r) + 2 for r in raw])
     pairs = np.unique(codes[at].astype(np.int64) * len(raw) + np.searchsorted(ends, at, "right"))
     grams, first = np.unique(pairs // len(raw), return_index=True)
+    if not len(grams):
+        return {}
     return dict(zip(grams.tolist(), np.split(pairs % len(raw), first[1:]), strict=True))
 
 
