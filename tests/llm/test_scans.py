@@ -74,7 +74,7 @@ def test_candidates_lose_no_match():
 
 
 def test_secrets_of_awkward_rows(spark):
-    texts = [None, "", "é😀 Token: 'abcdefgh12'", "token=short", "ghp_" + "a" * 36, "z " * 200_000]
+    texts = [None, "", "é😀 Token: 'abcdefgh12'", "token=short", "ghp_" + "G" * 36, "z " * 200_000]
     texts.append("-----BEGIN RSA PRIVATE KEY-----")
     got = spans(secret_scan.find_secrets(items(spark, texts)).collect(), "secrets")
     assert got[0] == got[1] == got[3] == got[5] == []
