@@ -41,13 +41,6 @@ def append_audit(audit: DataFrame, path: str) -> None:
     audit.write.mode("append").json(path)
 
 
-def export_catalogue(items: DataFrame, path: str) -> None:
-    """The three exports of a finished catalogue."""
-    write_parquet(items, f"{path}/parquet")
-    write_csv(items, f"{path}/csv")
-    write_ndjson(items, f"{path}/json")
-
-
 # --- versioned tables ------------------------------------------------------
 def new_version(df: DataFrame, table: str) -> str:
     """Write a frame, which may be derived from the table itself, as the
@@ -59,20 +52,73 @@ def new_version(df: DataFrame, table: str) -> str:
     return path
 
 
-def current_version(spark: SparkSession, table: str) -> str | None:
-    """Path of the newest completely written version, null for none."""
+def complete_versions(spark: SparkSession, table: str) -> list[str]:
+    """Names of the completely written versions of a table, oldest first."""
     hadoop = spark._jvm.org.apache.hadoop.fs
     root = hadoop.Path(table)
     fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(root):
-        return None
-    done = [
-        s.getPath().toString()
+        return []
+    return sorted(
+        s.getPath().getName()
         for s in fs.listStatus(root)
         if s.getPath().getName().startswith("version=")
         and fs.exists(hadoop.Path(s.getPath(), "_SUCCESS"))
-    ]
-    return max(done, default=None)
+    )
+
+
+def current_version(spark: SparkSession, table: str) -> str | None:
+    """Path of the newest completely written version, null for none."""
+    done = complete_versions(spark, table)
+    return f"{table}/{done[-1]}" if done else None
+
+
+def read_buckets(spark: SparkSession, table: str) -> DataFrame | None:
+    """Rows of a table of buckets with their `_bucket`: of each bucket the
+    newest complete version that holds it. None while nothing was written."""
+    done = complete_versions(spark, table)
+    if not done:
+        return None
+    paths = [f"{table}/{v}" for v in done]
+    rows = spark.read.option("basePath", table).parquet(*paths)
+    newest = rows.groupBy("_bucket").agg(F.max("version").alias("version"))
+    # One row per bucket.
+    return rows.join(F.broadcast(newest), ["_bucket", "version"]).drop("version")
+
+
+def merge_buckets(batch: DataFrame, table: str, keys: list[str], buckets: int, merge) -> None:
+    """Merge a batch into a table of buckets: merge(rows) of the batch and of
+    the current rows of the buckets it touches becomes their newest version."""
+    spark = batch.sparkSession
+    at = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+    fresh = batch.withColumn("_bucket", at)
+    touched = [r[0] for r in fresh.select("_bucket").distinct().collect()]
+    if not touched:
+        return
+    stored = read_buckets(spark, table)
+    rows = fresh
+    if stored is not None:
+        rows = fresh.unionByName(stored.where(F.col("_bucket").isin(touched)))
+    stamp = f"{int(time.time() * 1000):014d}-{uuid.uuid4().hex[:8]}"
+    merged = merge(rows)
+    merged.write.partitionBy("_bucket").parquet(f"{table}/version={stamp}")
+    drop_superseded(spark, table)
+
+
+def drop_superseded(spark: SparkSession, table: str) -> None:
+    """Remove versions of which every bucket has been written twice since:
+    readers that began before the last merge keep what they read."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(table).getFileSystem(spark._jsc.hadoopConfiguration())
+    seen: dict[str, int] = {}
+    for version in reversed(complete_versions(spark, table)):
+        path = hadoop.Path(f"{table}/{version}")
+        names = [s.getPath().getName() for s in fs.listStatus(path)]
+        names = [n for n in names if n.startswith("_bucket=")]
+        if all(seen.get(n, 0) >= 2 for n in names):
+            fs.delete(path, True)
+        for n in names:
+            seen[n] = seen.get(n, 0) + 1
 
 
 def read_current(spark: SparkSession, table: str) -> DataFrame:

@@ -5,13 +5,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from ..operators.latest import last_write
 from ..operators.vectors import new_vectors
 from ..plans.embedding import encode_new
-from ..sources.sinks import current_version, new_version
+from ..sources.sinks import merge_buckets
 
 
 def file_stream(
@@ -33,20 +34,40 @@ def drain(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], N
     query.awaitTermination()
 
 
-def _batch_path(store: str, batch_id: int) -> str:
-    """A batch always writes the same folder, so a retried one replaces its
-    own output instead of adding to it."""
-    return f"{store}/batch={batch_id}"
+def _stream_id(session: SparkSession) -> str:
+    """Id of the running query, which Spark keeps with its checkpoint: another
+    source, or the same one after its checkpoint was lost, has another id."""
+    found = session.sparkContext.getLocalProperty("sql.streaming.queryId")
+    if not found:
+        raise RuntimeError("only to be called from a streaming batch")
+    return found
 
 
-def _stored(spark: SparkSession, store: str, schema: str, before: int) -> DataFrame:
-    """Rows written by earlier batches only."""
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(store)
-    fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(fs_path):
+def _stored(spark: SparkSession, store: str, schema: str, stream: str, batch_id: int) -> DataFrame:
+    """Rows of all batches but this one; none while nothing was ever stored."""
+    try:
+        rows = spark.read.schema(f"{schema}, stream string, batch long").parquet(store)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
-    rows = spark.read.schema(schema + ", batch long").parquet(store)
-    return rows.where(F.col("batch") < before).drop("batch")
+    other = (F.col("stream") != stream) | (F.col("batch") != batch_id)
+    return rows.where(other).drop("stream", "batch")
+
+
+def _store_batches(stream: DataFrame, store: str, checkpoint: str, schema: str, fresh) -> None:
+    """Append what fresh(batch, stored) finds new. A batch writes a folder of
+    its own, named by the stream's id and the batch number: a retried one
+    replaces its own output, and no other stream's batches are touched."""
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        name = _stream_id(session)
+        done = _stored(session, store, schema, name, batch_id)
+        path = f"{store}/stream={name}/batch={batch_id}"
+        fresh(batch, done).write.mode("overwrite").parquet(path)
+
+    drain(stream, checkpoint, each)
 
 
 def build_vectors(
@@ -55,44 +76,34 @@ def build_vectors(
 ) -> None:
     """Encode arriving documents(item_id, document) that have no vector yet."""
     schema = f"item_id {id_type}, vector array<float>"
-
-    def each(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        done = _stored(session, store, schema, batch_id)
-        encode_new(batch, done).write.mode("overwrite").parquet(_batch_path(store, batch_id))
-
-    drain(documents, checkpoint, each)
+    _store_batches(documents, store, checkpoint, schema, encode_new)
 
 
 def upsert_vectors(
     spark: SparkSession, vectors: DataFrame, store: str, checkpoint: str
 ) -> None:
     """Append arriving vectors(item_id, vector) whose id is not stored."""
-    schema = "item_id long, vector array<double>"
 
-    def each(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        done = _stored(session, store, schema, batch_id)
-        fresh = new_vectors(batch, done, "item_id").select("item_id", "vector")
-        fresh.write.mode("overwrite").parquet(_batch_path(store, batch_id))
+    def fresh(batch: DataFrame, done: DataFrame) -> DataFrame:
+        return new_vectors(batch, done, "item_id").select("item_id", "vector")
 
-    drain(vectors, checkpoint, each)
+    _store_batches(vectors, store, checkpoint, "item_id long, vector array<double>", fresh)
 
 
 def read_store(spark: SparkSession, store: str) -> DataFrame:
-    return spark.read.parquet(store).drop("batch")
+    return spark.read.parquet(store).drop("stream", "batch")
 
 
 def compact_log(
-    log: DataFrame, table: str, checkpoint: str, keys: list[str], order: list[str]
+    log: DataFrame, table: str, checkpoint: str, keys: list[str], order: list[str],
+    buckets: int = 16,
 ) -> None:
-    """Keep one row per key, the newest, in a versioned table. Deletes stay as
-    rows so that late older writes cannot revive a key. Replaying a batch
-    gives the same table, hence retries are harmless."""
+    """Keep one row per key, the newest, in a table cut into buckets by a
+    digest of the key. A batch reads and rewrites only the buckets it touches.
+    Deletes stay as rows so that late older writes cannot revive a key.
+    Replaying a batch gives the same table, hence retries are harmless."""
+
     def each(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        path = current_version(session, table)
-        rows = batch if path is None else batch.unionByName(session.read.parquet(path))
-        new_version(last_write(rows, keys, order), table)
+        merge_buckets(batch, table, keys, buckets, lambda rows: last_write(rows, keys, order))
 
     drain(log, checkpoint, each)

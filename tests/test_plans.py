@@ -113,7 +113,7 @@ def test_stream_resumes_and_matches_batch(spark):
     def run():
         log = S.file_stream(spark, src, spark.createDataFrame([], schema).schema)
         S.compact_log(log, table, ckpt, ["user", "item"], ["ts"])
-        return {(r.user, r.item): r.kind for r in sinks.read_current(spark, table).collect()}
+        return {(r.user, r.item): r.kind for r in sinks.read_buckets(spark, table).collect()}
 
     arrive([("u", "a", 1, "add"), ("u", "b", 2, "add")])
     assert run() == {("u", "a"): "add", ("u", "b"): "add"}
@@ -122,6 +122,41 @@ def test_stream_resumes_and_matches_batch(spark):
     assert run() == {("u", "a"): "del", ("u", "b"): "add"}
 
 
+def test_stores_keep_what_other_streams_wrote(spark):
+    src_a, src_b, store = (scratch_path(spark, n) for n in ("a", "b", "store"))
+    schema = "item_id long, vector array<double>"
+    rows = lambda ids: spark.createDataFrame([(i, [1.0, float(i)]) for i in ids], schema)
+    rows([1, 2, 3]).write.parquet(src_a)
+    rows([3, 10, 11]).write.parquet(src_b)
+
+    def run(src, ckpt):
+        vectors = S.file_stream(spark, src, spark.createDataFrame([], schema).schema)
+        S.upsert_vectors(spark, vectors, store, ckpt)
+        return sorted(r.item_id for r in S.read_store(spark, store).collect())
+
+    first, second = scratch_path(spark, "ckpt"), scratch_path(spark, "ckpt")
+    assert run(src_a, first) == [1, 2, 3]
+    assert run(src_b, second) == [1, 2, 3, 10, 11]
+    # A lost checkpoint replays everything and adds nothing.
+    assert run(src_b, scratch_path(spark, "ckpt")) == [1, 2, 3, 10, 11]
+    rows([4]).write.mode("append").parquet(src_a)
+    assert run(src_a, first) == [1, 2, 3, 4, 10, 11]
+
+
+def test_merge_rewrites_touched_buckets_only(spark):
+    table = scratch_path(spark, "buckets")
+    schema = "user string, ts long"
+    merge = lambda rows: rows.groupBy("user", "_bucket").agg(F.max("ts").alias("ts"))
+    for rows in ([("a", 1), ("b", 1), ("c", 1), ("d", 1)], [("a", 2)], [("a", 3)], [("a", 4)]):
+        sinks.merge_buckets(spark.createDataFrame(rows, schema), table, ["user"], 8, merge)
+    got = {r.user: r.ts for r in sinks.read_buckets(spark, table).collect()}
+    assert got == {"a": 4, "b": 1, "c": 1, "d": 1}
+    last = sinks.complete_versions(spark, table)[-1]
+    assert spark.read.parquet(f"{table}/{last}").count() == 1
+    # The second version holds nothing but what was written twice since.
+    assert len(sinks.complete_versions(spark, table)) == 3
+
+
 def test_manifest_and_delimited(spark):
     root = scratch_path(spark, "raw")
     df = spark.createDataFrame([("1", 'say "hi", you', "\\N"), ("2", "NA", "x")], "a string, b string, c string")

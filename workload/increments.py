@@ -23,7 +23,11 @@ def _documents(spark, sf):
     return spread(docs)
 
 
-@query("e1_encode_documents")
+@query(
+    "e1_encode_documents",
+    """select doc_id as item_id, 384 as dims, cast(regexp_matches(text, '[^\\s]') as int)::double
+       as norm from documents""",
+)
 def e1(spark, sf):
     docs = _documents(spark, sf)
     done = B.encode_texts(docs, "item_id", "document")
@@ -202,31 +206,37 @@ def _stream(spark, sf, name):
     "select doc_id as item_id, 1 as vectors from documents where trim(text) <> ''",
 )
 def t1(spark, sf):
-    """Run twice over the same files: the second run adds nothing."""
+    """A first source holds two thirds of the documents, a second one, with a
+    checkpoint of its own, two thirds as well; each runs twice."""
     store, ckpt = scratch_path(spark, "store"), scratch_path(spark, "ckpt")
-    for _ in range(2):
-        docs = _stream(spark, sf, "documents").select(
-            F.col("doc_id").alias("item_id"), F.col("text").alias("document")
-        )
-        S.build_vectors(spark, docs, store, ckpt)
+    for source in (0, 1):
+        for _ in range(2):
+            docs = _stream(spark, sf, "documents").where(F.col("doc_id") % 3 != source).select(
+                F.col("doc_id").alias("item_id"), F.col("text").alias("document")
+            )
+            S.build_vectors(spark, docs, store, f"{ckpt}-{source}")
     done = S.read_store(spark, store)
     return done.groupBy("item_id").agg(F.count("*").cast("int").alias("vectors"))
 
 
 @query(
     "t2_stream_vector_upsert",
-    "select vec_id as item_id, len(embedding) as dims from embeddings",
+    "select vec_id as item_id, len(embedding) as dims, 1 as copies from embeddings",
 )
 def t2(spark, sf):
+    """The second source brings half known and half new ids; nothing that the
+    first one stored is lost or repeated."""
     store, ckpt = scratch_path(spark, "store"), scratch_path(spark, "ckpt")
-    for again in range(2):
-        rows = _stream(spark, sf, "embeddings").select(
+    for source in (0, 1):
+        rows = _stream(spark, sf, "embeddings").where(F.col("vec_id") % 3 != source).select(
             F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector")
         )
-        # A second source repeats every id; none of them is added again.
-        S.upsert_vectors(spark, rows, store, f"{ckpt}-{again}" if again else ckpt)
+        S.upsert_vectors(spark, rows, store, f"{ckpt}-{source}")
     done = S.read_store(spark, store)
-    return done.select("item_id", F.size("vector").cast("bigint").alias("dims"))
+    return done.groupBy("item_id").agg(
+        F.max(F.size("vector")).cast("bigint").alias("dims"),
+        F.count("*").cast("int").alias("copies"),
+    )
 
 
 @query(
@@ -234,11 +244,13 @@ def t2(spark, sf):
     f"select user_id, movie_id, event_id, event_type from {_STATE}",
 )
 def t3(spark, sf):
+    """Two logs, each with part of the users, merge into one table."""
     store, ckpt = scratch_path(spark, "favourites"), scratch_path(spark, "ckpt")
-    rows = _stream(spark, sf, "events").select(
-        "user_id", F.get_json_object("props", "$.k").alias("movie_id"), "ts", "event_id",
-        "event_type",
-    )
-    S.compact_log(rows, store, ckpt, ["user_id", "movie_id"], ["ts", "event_id"])
-    state = sinks.read_current(spark, store)
-    return state.where(F.col("event_type") != "error").drop("ts")
+    for part in (0, 1):
+        rows = _stream(spark, sf, "events").where(F.col("event_id") % 2 == part).select(
+            "user_id", F.get_json_object("props", "$.k").alias("movie_id"), "ts", "event_id",
+            "event_type",
+        )
+        S.compact_log(rows, store, f"{ckpt}-{part}", ["user_id", "movie_id"], ["ts", "event_id"])
+    state = sinks.read_buckets(spark, store)
+    return state.where(F.col("event_type") != "error").drop("ts", "_bucket")
