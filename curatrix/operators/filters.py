@@ -181,14 +181,16 @@ def _counted(items: DataFrame, queries: DataFrame) -> DataFrame:
     return queries.join(found, "query_id", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
 
 
-def relax(items: DataFrame, queries: DataFrame, limit: int = 50) -> DataFrame:
-    """Queries with their intent loosened until enough items pass, plus the
+def relax(
+    items: DataFrame, queries: DataFrame, limit: int = 50, min_results: int = 5
+) -> DataFrame:
+    """Queries with their intent loosened until min_results items pass (limit,
+    where that is less; a tiny catalogue may ask for one), plus the
     `relax_level` used: 0 as asked, 2 without genres, 3 also without years and
     runtime. People are not part of the filter, so the level in between that
     drops them finds the same items and is not run. Each step only scans for
     the queries still short of items."""
-    some = items.limit(11).count()
-    threshold = 1 if some <= 10 else min(5, limit)
+    threshold = min(min_results, limit)
     i = F.col("intent")
     loosenable = (
         (F.size(i["preferred_actors"]) > 0)

@@ -10,6 +10,8 @@ from ..functions.understanding import keyword_preferences
 
 # Share of each signal in the fused score.
 SEMANTIC, TEXT, METADATA = 0.55, 0.25, 0.20
+# Places kept of scores that decide an order.
+DIGITS = 10
 
 
 def metadata_match(i: Column) -> Column:
@@ -37,7 +39,12 @@ def with_cosine(pairs: DataFrame, query_vectors: DataFrame) -> DataFrame:
 def fuse(scored: DataFrame) -> DataFrame:
     """Add min-max norms per query and `fusion`. The bounds are a small
     aggregate joined back, not a window that would gather all candidates of a
-    query in one task."""
+    query in one task. Scores and norms are rounded to DIGITS places before
+    anything is ranked by them: sums of doubles depend on the order in which a
+    shuffle delivers them."""
+    scored = scored.withColumns(
+        {n: F.round(n, DIGITS) for n in ("semantic", "bm25", "metadata")}
+    )
     bounds = scored.groupBy("query_id").agg(
         F.count("*").alias("_n"),
         F.min("semantic").alias("_s0"),
@@ -48,11 +55,19 @@ def fuse(scored: DataFrame) -> DataFrame:
     c = F.col
     return (
         scored.join(bounds, "query_id")
-        .withColumn("semantic_norm", minmax(c("semantic"), c("_s0"), c("_s1"), c("_n")))
-        .withColumn("bm25_norm", minmax(c("bm25"), c("_b0"), c("_b1"), c("_n")))
+        .withColumn(
+            "semantic_norm",
+            F.round(minmax(c("semantic"), c("_s0"), c("_s1"), c("_n")), DIGITS),
+        )
+        .withColumn(
+            "bm25_norm", F.round(minmax(c("bm25"), c("_b0"), c("_b1"), c("_n")), DIGITS)
+        )
         .withColumn(
             "fusion",
-            SEMANTIC * c("semantic_norm") + TEXT * c("bm25_norm") + METADATA * c("metadata"),
+            F.round(
+                SEMANTIC * c("semantic_norm") + TEXT * c("bm25_norm") + METADATA * c("metadata"),
+                DIGITS,
+            ),
         )
         .drop("_n", "_s0", "_s1", "_b0", "_b1")
     )

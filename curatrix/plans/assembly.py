@@ -14,7 +14,7 @@ from ..schema import with_intent
 from ..session import lookup_join
 
 # List lengths per source.
-CAST_FILMS, STRICT_CAST_FILMS, POOL, BORROWED_KEYWORDS = 40, 60, 50, 10
+CAST_FILMS, POOL, STUDIO_FILMS = 40, 50, 20
 
 
 def collection_members(items: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -27,16 +27,17 @@ def collection_members(items: DataFrame, seeds: DataFrame) -> DataFrame:
 
 
 def enrich_from_reference(
-    items: DataFrame, queries: DataFrame, vectors: DataFrame
+    items: DataFrame, queries: DataFrame, vectors: DataFrame, keywords: int | None = None
 ) -> DataFrame:
-    """Queries that name an item take over its genres, first ten keywords,
-    directors and collection."""
+    """Queries that name an item take over its genres, keywords (all, or the
+    first few), directors and collection."""
+    words = empty_if_null(F.col("keywords"))
     ref = reference_items(items, queries, vectors).select("query_id", "item_id")
     about = ref.join(
         items.select(
             "item_id",
             canonical_genres(F.col("genres")).alias("_g"),
-            F.slice(empty_if_null(F.col("keywords")), 1, BORROWED_KEYWORDS).alias("_k"),
+            (words if keywords is None else F.slice(words, 1, keywords)).alias("_k"),
             empty_if_null(F.col("directors")).alias("_d"),
             F.filter(F.array("collection_name"), lambda c: c.isNotNull()).alias("_c"),
         ),
@@ -60,10 +61,13 @@ def enrich_from_reference(
     ).select(queries.columns)
 
 
-def candidate_pool(items: DataFrame, queries: DataFrame, vectors: DataFrame) -> DataFrame:
+def candidate_pool(
+    items: DataFrame, queries: DataFrame, vectors: DataFrame,
+    cast_films: int = CAST_FILMS, studio_films: int = STUDIO_FILMS, pool: int = POOL,
+) -> DataFrame:
     """(query_id, item_id, source, rank): discovery pages, filmographies,
     referenced items and their collections, an item counted for the first
-    source naming it, then the fifty best by popularity x rating."""
+    source naming it, then the `pool` best by popularity x rating."""
     i = F.col("intent")
     paged = discover(items, queries).select(
         "query_id", "item_id", F.lit(1).alias("source"), F.col("position").alias("pos")
@@ -79,7 +83,7 @@ def candidate_pool(items: DataFrame, queries: DataFrame, vectors: DataFrame) ->
         spread_by="item_id",
     )
     from_studio = top_k(
-        from_studio, ["query_id"], [F.col("popularity").desc_nulls_last(), F.asc("item_id")], 20,
+        from_studio, ["query_id"], [F.col("popularity").desc_nulls_last(), F.asc("item_id")], studio_films,
         "pos",
     ).select("query_id", "item_id", F.lit(2).alias("source"), "pos")
 
@@ -99,7 +103,7 @@ def candidate_pool(items: DataFrame, queries: DataFrame, vectors: DataFrame) ->
         paged,
         from_studio,
         people("preferred_directors", "directors", None, 3),
-        people("preferred_actors", "cast", CAST_FILMS, 4),
+        people("preferred_actors", "cast", cast_films, 4),
         named,
         series,
     ]
@@ -114,7 +118,7 @@ def candidate_pool(items: DataFrame, queries: DataFrame, vectors: DataFrame) ->
         ).alias("_worth"),
     )
     return top_k(
-        merged.join(worth, "item_id"), ["query_id"], [F.desc("_worth"), F.asc("item_id")], POOL
+        merged.join(worth, "item_id"), ["query_id"], [F.desc("_worth"), F.asc("item_id")], pool
     ).select("query_id", "item_id", "source", "rank")
 
 

@@ -45,10 +45,15 @@ FACETS = [
 
 
 def score_pairs(
-    items: DataFrame, queries: DataFrame, vectors: DataFrame, query_vectors: DataFrame
+    items: DataFrame, queries: DataFrame, vectors: DataFrame, query_vectors: DataFrame,
+    loosened: DataFrame | None = None,
 ) -> DataFrame:
     """(query, item) rows passing the filters, with semantic, bm25, metadata.
 
+    Filters go by the loosened intents where they are given; scores always go
+    by the intents as asked, so a genre that was dropped to find anything still
+    counts in the text score and the metadata match.
+
     vectors(item_id, vector), query_vectors(query_id, vector). BM25 statistics
     come from all items; only items with a vector are candidates. The scored
     item table is written once, as the pairs over it are read twice: for the
@@ -58,10 +63,12 @@ def score_pairs(
     with_vector = settle(
         items.select(*FACETS).join(unit, "item_id").join(scored, "item_id", "left"), "scored"
     )
-    asked = query_vectors.select(
+    unit_queries = query_vectors.select(
         "query_id", l2_normalise(F.col("vector")).alias("query_vector")
     )
-    pairs = with_cosine(survivors(with_vector, queries), asked)
+    asked = queries.select("query_id", "intent").join(unit_queries, "query_id", "left")
+    passed = survivors(with_vector, queries if loosened is None else loosened)
+    pairs = with_cosine(passed.drop("intent"), asked)
     bm25 = F.try_element_at("bm25_by_query", F.col("query_id"))
     return (
         pairs.withColumn("bm25", F.coalesce(bm25, F.lit(0.0)))
@@ -76,12 +83,8 @@ def retrieve(
 ) -> DataFrame:
     """Top k per query by fused score, `rank` added. queries(query_id, text,
     intent); items carry item_id and the item columns."""
-    if relaxing:
-        loose = relax(items, queries, limit).drop("relax_level")
-    else:
-        loose = queries
-    fused = fuse(score_pairs(items, loose, vectors, query_vectors))
-    fused = fused.withColumn("fusion", F.round("fusion", 10))
+    loose = relax(items, queries, limit).drop("relax_level") if relaxing else None
+    fused = fuse(score_pairs(items, queries, vectors, query_vectors, loose))
     top = top_k(fused, ["query_id"], [F.desc("fusion"), F.asc("item_id")], k)
     return items.join(top, "item_id")
 
@@ -99,26 +102,25 @@ def reference_vectors(
     )
 
 
-def narrow(stage_1: DataFrame) -> DataFrame:
-    return narrow_two_lists(stage_1, STAGE_2_HEAD, STAGE_2)
-
-
 def funnel(
     items: DataFrame, queries: DataFrame, vectors: DataFrame, query_vectors: DataFrame,
-    limit: int = 10, relaxing: bool = True,
+    limit: int = 10, relaxing: bool = True, first: int | None = None, second: int | None = None,
 ) -> DataFrame:
-    """Three stages, 50 -> 15 -> limit: fused retrieval, narrowing by two
-    lists, weighted ranking with diversity. The original intent ranks."""
-    stage_1 = retrieve(items, queries, vectors, query_vectors, STAGE_1, limit, relaxing)
-    # Fifty rows per query.
+    """Three stages, first -> second -> limit: fused retrieval, narrowing by
+    two lists, weighted ranking with diversity. The stages keep 50 and 15 rows
+    per query, or limit where that is more, unless lengths are given. The
+    original intent ranks."""
+    first, second = first or max(STAGE_1, limit), second or max(STAGE_2, limit)
+    stage_1 = retrieve(items, queries, vectors, query_vectors, first, limit, relaxing)
+    # `first` rows per query.
     stage_1 = settle(stage_1, "stage")
-    return rank_and_diversify(narrow(stage_1), queries, limit)
+    return rank_and_diversify(narrow_two_lists(stage_1, STAGE_2_HEAD, second), queries, limit)
 
 
 def rank_and_diversify(short: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
     weighted = with_weights(queries.select("query_id", "intent"))
     ranked = rank_candidates(short.drop("intent").join(weighted, "query_id"))
-    # At most 15 rows per query: one write saves ranking twice.
+    # The second stage per query: one write saves ranking twice.
     ranked = settle(ranked, "ranked")
     final = diversify(ranked).where(F.col("position") <= limit)
     return ranked.join(final, ["query_id", "item_id"])
@@ -139,9 +141,9 @@ def audit(
 ) -> DataFrame:
     """(query_id, stage, position, item_id, score): the hundred best per
     signal and the lists of the three stages."""
-    loose = relax(items, queries, limit).drop("relax_level") if relaxing else queries
-    fused = fuse(score_pairs(items, loose, vectors, query_vectors))
-    fused = settle(fused.withColumn("fusion", F.round("fusion", 10)), "audit")
+    loose = relax(items, queries, limit).drop("relax_level") if relaxing else None
+    fused = settle(fuse(score_pairs(items, queries, vectors, query_vectors, loose)), "audit")
+    first, second = max(STAGE_1, limit), max(STAGE_2, limit)
 
     def stage(df, name, order, score, k):
         ranked = top_k(df, ["query_id"], [order, F.asc("item_id")], k, "position")
@@ -150,16 +152,16 @@ def audit(
             F.round(F.col(score).cast("double"), 4).alias("score"),
         )
 
-    top = top_k(fused, ["query_id"], [F.desc("fusion"), F.asc("item_id")], STAGE_1)
+    top = top_k(fused, ["query_id"], [F.desc("fusion"), F.asc("item_id")], first)
     stage_1 = settle(items.join(top, "item_id"), "stage")
-    stage_2 = narrow(stage_1)
+    stage_2 = narrow_two_lists(stage_1, STAGE_2_HEAD, second)
     final = rank_and_diversify(stage_2, queries, limit)
     parts = [
         stage(fused, "metadata", F.desc("metadata"), "metadata", AUDIT),
         stage(fused, "semantic", F.desc("semantic"), "semantic", AUDIT),
         stage(fused, "bm25", F.desc("bm25_norm"), "bm25_norm", AUDIT),
-        stage(stage_1, "stage_1", F.desc("fusion"), "fusion", STAGE_1),
-        stage(stage_2, "stage_2", F.asc("slot"), "semantic", STAGE_2),
+        stage(stage_1, "stage_1", F.desc("fusion"), "fusion", first),
+        stage(stage_2, "stage_2", F.asc("slot"), "semantic", second),
         stage(final, "stage_3", F.asc("position"), "score", limit),
     ]
     return reduce(DataFrame.unionByName, parts)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from curatrix.operators import evaluation as V, filters as L, lookups as K
 from curatrix.operators.fusion import fuse, metadata_match
 from curatrix.operators.grouping import first_wins, narrow_two_lists, top_k
-from curatrix.plans import assembly as A, search as H, similar as M
+from curatrix.plans import assembly as A, recommend as R, search as H, similar as M
 from curatrix.session import settle
 
 from . import query
@@ -118,32 +118,28 @@ def fused_sql(relaxed: bool = True) -> str:
         else filter_sql()
     )
     level = RELAXED if relaxed else "level as (select query_id, 0 as relax_level from asks)"
-    # The metadata match is taken from the loosened intent, too.
-    genres = "case when v.relax_level = 0 then q.genres else cast([] as varchar[]) end"
-    meta = _META.replace("q.genres", "q.used_genres")
     return (
         cte("items", "asks").rstrip() + ",\n"
         + f"""docs as (select item_id as id, {SEARCH_TEXT} as text from items),
       {level},
-      loose as (select q.*, v.relax_level, {genres} as used_genres from asks q
-        join level v on v.query_id = q.query_id),
-      asked as (select query_id, concat_ws(' ', text, array_to_string(used_genres, ' '),
+      asked as (select query_id, concat_ws(' ', text, array_to_string(genres, ' '),
         array_to_string(moods, ' '), array_to_string(themes, ' '), array_to_string(keywords, ' '),
         array_to_string(refs, ' '), array_to_string(actors, ' '),
-        array_to_string(directors, ' ')) as text from loose),
+        array_to_string(directors, ' ')) as text from asks),
       {bm25_ctes('docs', 'asked')}, {_UNIT},
       pairs as (select q.query_id, i.item_id,
-          case when w.v is null then 0.0 else greatest(-1.0, least(1.0,
-          list_dot_product(u.v, w.v))) end as semantic,
-          coalesce(s.score, 0) as bm25, {meta} as metadata
-        from loose q join level v on v.query_id = q.query_id join items i on {ok}
+          round(case when w.v is null then 0.0 else greatest(-1.0, least(1.0,
+          list_dot_product(u.v, w.v))) end, 10) as semantic,
+          round(coalesce(s.score, 0), 10) as bm25, round({_META}, 10) as metadata
+        from asks q join level v on v.query_id = q.query_id join items i on {ok}
         join unit u on u.vec_id = i.item_id
         left join unit w on w.vec_id = q.query_id
         left join bm25 s on s.query_id = q.query_id and s.id = i.item_id),
       fused as (select *, round(0.55 * sn + 0.25 * bn + 0.20 * metadata, 10) as fusion from (
-        select *, case when n = 1 then 1.0 when s1 > s0 then (semantic - s0) / (s1 - s0)
-            else 0.0 end as sn,
-          case when n = 1 then 1.0 when b1 > b0 then (bm25 - b0) / (b1 - b0) else 0.0 end as bn
+        select *, round(case when n = 1 then 1.0 when s1 > s0 then (semantic - s0) / (s1 - s0)
+            else 0.0 end, 10) as sn,
+          round(case when n = 1 then 1.0 when b1 > b0 then (bm25 - b0) / (b1 - b0)
+            else 0.0 end, 10) as bn
         from (select *, count(*) over w as n, min(semantic) over w as s0, max(semantic) over w
           as s1, min(bm25) over w as b0, max(bm25) over w as b1 from pairs
           window w as (partition by query_id)))),
@@ -218,7 +214,7 @@ def r6(spark, sf):
 def a26(spark, sf):
     i, q, v, qv = _inputs(spark, sf)
     loose = L.relax(i, q).drop("relax_level")
-    return H.signal_counts(H.score_pairs(i, loose, v, qv))
+    return H.signal_counts(H.score_pairs(i, q, v, qv, loose))
 
 
 @query("r9_audit_trail")
@@ -286,8 +282,8 @@ def r11(spark, sf):
 
 @query(
     "w5_min_max_per_group_a25",
-    """select l_partkey, l_orderkey, l_linenumber, l_suppkey, round(case when n = 1 then 1.0
-       when hi > lo then (l_quantity - lo) / (hi - lo) else 0.0 end, 8) as norm from (
+    """select l_partkey, l_orderkey, l_linenumber, l_suppkey, round(round(case when n = 1 then 1.0
+       when hi > lo then (l_quantity - lo) / (hi - lo) else 0.0 end, 10), 8) as norm from (
        select *, count(*) over w as n, min(l_quantity) over w as lo, max(l_quantity) over w as hi
        from lineitem window w as (partition by l_partkey))""",
 )
@@ -587,7 +583,9 @@ _REFERENCE = """
       left join items i on i.item_id = r.item_id""",
 )
 def q18(spark, sf):
-    done = A.enrich_from_reference(items(spark, sf), asks(spark, sf), vectors(spark, sf))
+    done = A.enrich_from_reference(
+        items(spark, sf), asks(spark, sf), vectors(spark, sf), keywords=10
+    )
     i = F.col("intent")
     return done.select(
         "query_id",
@@ -598,10 +596,9 @@ def q18(spark, sf):
     )
 
 
-@query(
-    "r12_candidate_assembly",
-    cte("items", "asks") + _DISCOVER + _REFERENCE
-    + f""", sources as (
+def _pool_sql(strict_films: int = 40) -> str:
+    """CTEs up to pool(query_id, item_id, source, rank)."""
+    return f""", sources as (
       select query_id, item_id, 1 as source from found where position <= 60
       union all select query_id, item_id, 2 from (select q.query_id, i.item_id, row_number() over (
         partition by q.query_id order by i.popularity desc nulls last, i.item_id) as rank
@@ -609,21 +606,71 @@ def q18(spark, sf):
         where rank <= 20
       union all select query_id, item_id, 3 from {_FILMS.format('i.directors', 'directors')}
       union all select query_id, item_id, 4 from {_FILMS.format('i.people', 'actors')}
-        where rank <= 40
+        where rank <= {strict_films}
       union all select query_id, item_id, 5 from ref
       union all select r.query_id, i.item_id, 6 from ref r join items s on s.item_id = r.item_id
         join items i on i.collection_name = s.collection_name),
       firsts as (select query_id, item_id, min(source) as source from sources
-        group by query_id, item_id)
-      select query_id, item_id, cast(source as int) as source, rank from (select f.*,
+        group by query_id, item_id),
+      pool as (select query_id, item_id, source, rank from (select f.*,
         row_number() over (partition by query_id order by
         coalesce(popularity, 0) * coalesce(rating_value, 0) desc, f.item_id) as rank
-        from firsts f join items i on i.item_id = f.item_id) where rank <= 50""",
+        from firsts f join items i on i.item_id = f.item_id) where rank <= 50)
+    """
+
+
+@query(
+    "r12_candidate_assembly",
+    cte("items", "asks") + _DISCOVER + _REFERENCE + _pool_sql()
+    + "select query_id, item_id, cast(source as int) as source, rank from pool",
 )
 def r12(spark, sf):
     return A.candidate_pool(items(spark, sf), asks(spark, sf), vectors(spark, sf))
 
 
+@query(
+    "r12_recommend",
+    cte("items", "asks") + _DISCOVER + _REFERENCE + _pool_sql() + "," + _UNIT
+    + f""", judged as (select q.query_id, i.item_id, i.popularity, i.rating_value,
+        list_filter([{_STRICT}], lambda r: r is not null) as reasons
+        from pool p join asks q on q.query_id = p.query_id join items i on i.item_id = p.item_id),
+      state as (select query_id, max(cast(len(reasons) = 0 as int)) = 0 as waived from judged
+        group by query_id),
+      kept as (select j.*, s.waived from judged j join state s on s.query_id = j.query_id
+        where s.waived or len(j.reasons) = 0),
+      cut as (select * from (select *, row_number() over (partition by query_id order by
+        coalesce(popularity, 0) * coalesce(rating_value, 0) desc, item_id) as rank from kept)
+        where rank <= 50),
+      target as (select a.query_id, coalesce(r.item_id, a.query_id) as vec_id from asks a
+        left join (select r.* from ref r join asks x on x.query_id = r.query_id
+          where len(x.refs) > 0 and x.ranking_mode = 'similar') r on r.query_id = a.query_id),
+      near as (select c.query_id, c.item_id, c.waived, round(case when u.v is null or w.v is null
+          then 0.0 else greatest(-1.0, least(1.0, list_dot_product(u.v, w.v))) end, 10) as semantic
+        from cut c join target t on t.query_id = c.query_id
+        left join unit u on u.vec_id = c.item_id left join unit w on w.vec_id = t.vec_id)
+      select query_id, item_id, waived, round(semantic, 6) as semantic, slot from (select *,
+        row_number() over (partition by query_id order by semantic desc, item_id) as slot
+        from near) where slot <= 15""",
+)
+def r12_recommend(spark, sf):
+    """Through constraints, waiver, cut and narrowing; ranking has queries of
+    its own."""
+    i, q, v, encoded = _inputs(spark, sf)
+    near = R.search_vectors(i, q, v, encoded)
+    return R.shortlist(i, q, v, near).select(
+        "query_id", "item_id", "waived", F.round("semantic", 6).alias("semantic"), "slot"
+    )
+
+
+@query("r2_answer_by_pathway")
+def r2_answer(spark, sf):
+    """The funnel with the vector each pathway asks for."""
+    i, q, v, encoded = _inputs(spark, sf)
+    return R.answer(i, q, v, encoded).select(
+        "query_id", "position", "item_id", F.round("score", 6).alias("score")
+    )
+
+
 # --- judging ---------------------------------------------------------------
 @query(
     "a27_confidence",
