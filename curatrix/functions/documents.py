@@ -21,10 +21,10 @@ def _single(label: str, value: Column, keep: Column | None = None) -> Column:
     return F.when(keep, F.concat(F.lit(label), value))
 
 
-def item_document(c=F.col) -> Column:
+def item_document(c=F.col, first_cast: int | None = None) -> Column:
     """Multi-line description of an item. Lines without data are left out; a
     null title makes the whole document null. The longer of the two
-    descriptions is used, the overview on a tie."""
+    descriptions is used, the overview on a tie. first_cast cuts the cast."""
     longer_plot = F.length(F.coalesce(c("plot_summary"), F.lit(""))) > F.length(
         F.coalesce(c("overview"), F.lit(""))
     )
@@ -41,7 +41,7 @@ def item_document(c=F.col) -> Column:
         _listed("Genres: ", c("genres")),
         _listed("Directed by: ", c("directors")),
         _listed("Written by: ", c("writers")),
-        _listed("Starring: ", c("cast"), first=10),
+        _listed("Starring: ", c("cast"), first=first_cast),
         _single("Franchise / Collection: ", c("collection_name")),
         _listed("Production Companies: ", c("production_companies")),
         _listed("Languages: ", c("languages")),
@@ -61,8 +61,11 @@ def _given(c: Column) -> Column:
     return c.isNotNull() & (c != "")
 
 
-def embedding_document(title, tagline, overview, genres, keywords, cast, directors) -> Column:
-    """One-line document for the encoder; absent parts are skipped."""
+def embedding_document(
+    title, tagline, overview, genres, keywords, cast, directors, first_cast: int | None = None
+) -> Column:
+    """One-line document for the encoder; absent parts are skipped. first_cast
+    cuts the cast."""
     return F.concat_ws(
         ". ",
         _single("Title: ", title, _given(title)),
@@ -70,13 +73,15 @@ def embedding_document(title, tagline, overview, genres, keywords, cast, directo
         _single("Overview: ", overview, _given(overview)),
         _listed("Genres: ", genres),
         _listed("Keywords: ", keywords),
-        _listed("Cast: ", cast, first=10),
+        _listed("Cast: ", cast, first=first_cast),
         _listed("Directed by: ", directors),
     )
 
 
-def search_text(c=F.col) -> Column:
-    """Eight fields joined by single blanks, absent ones as empty text."""
+def search_text(c=F.col, first_cast: int | None = None) -> Column:
+    """Eight fields joined by single blanks, absent ones as empty text.
+    first_cast cuts the cast."""
+    cast = c("cast") if first_cast is None else F.slice(c("cast"), 1, first_cast)
     text = [
         c("title"),
         c("overview"),
@@ -84,7 +89,7 @@ def search_text(c=F.col) -> Column:
         F.array_join(c("genres"), " "),
         F.array_join(c("keywords"), " "),
         F.array_join(c("directors"), " "),
-        F.array_join(F.slice(c("cast"), 1, 10), " "),
+        F.array_join(cast, " "),
         c("plot_summary"),
     ]
     return F.concat_ws(" ", *[F.coalesce(t, F.lit("")) for t in text])

@@ -140,10 +140,10 @@ def year_of(date_text: Column) -> Column:
     return F.substring(F.nullif(date_text, F.lit("")), 1, 4).try_cast("int")
 
 
-def stubs(results: Column) -> Column:
-    """First five listed items in short form."""
+def stubs(results: Column, first: int | None = None) -> Column:
+    """Listed items in short form, all or the first few."""
     return F.transform(
-        F.slice(results, 1, 5),
+        results if first is None else F.slice(results, 1, first),
         lambda m: F.struct(
             m["id"].alias("tmdb_id"),
             m["title"].alias("title"),
@@ -174,8 +174,12 @@ def fill_fields(p: Column) -> dict[str, Column]:
     }
 
 
-def detail_fields(p: Column) -> dict[str, Column]:
-    """Full detail view of a payload."""
+def detail_fields(
+    p: Column, first_cast: int | None = None, first_stubs: int | None = None
+) -> dict[str, Column]:
+    """Full detail view of a payload; the cast and the lists of other items can
+    be cut."""
+    cast = p["credits"]["cast"]
     video = best_video(p)
     logo = F.get(p["images"]["logos"], 0)["file_path"]
     return {
@@ -190,7 +194,7 @@ def detail_fields(p: Column) -> dict[str, Column]:
         "video": p["video"],
         "release_date": p["release_date"],
         "collection": p["belongs_to_collection"]["name"],
-        "cast": names(F.slice(p["credits"]["cast"], 1, 10)),
+        "cast": names(cast if first_cast is None else F.slice(cast, 1, first_cast)),
         "directors": crew_names(p, "directors"),
         "writers": crew_names(p, "writers"),
         "producer": F.get(crew_names(p, "producer"), 0),
@@ -201,8 +205,8 @@ def detail_fields(p: Column) -> dict[str, Column]:
         "trailer_type": video["type"],
         "trailer_name": video["name"],
         "streaming_providers": providers(p),
-        "similar_movies": stubs(p["similar"]["results"]),
-        "recommended_movies": stubs(p["recommendations"]["results"]),
+        "similar_movies": stubs(p["similar"]["results"], first_stubs),
+        "recommended_movies": stubs(p["recommendations"]["results"], first_stubs),
         "logo_url": F.concat(F.lit(POSTER_BASE), logo),
         "certification": certification(p, anywhere=False),
     }

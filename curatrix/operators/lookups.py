@@ -79,7 +79,10 @@ def exact_titles(items: DataFrame, queries: DataFrame) -> DataFrame:
         F.lower("title").alias("_t")
     ).agg(F.min("title").alias("title"))
     asked = queries.select("query_id", F.lower(F.trim("text")).alias("_t"))
-    return asked.join(titles, "_t").select("query_id", "title")
+    # Titles are looked up once per distinct text; what is found is small, and
+    # a text asked by millions meets one row, which a skewed join can split.
+    found = asked.select("_t").distinct().join(titles, "_t")
+    return asked.join(found, "_t").select("query_id", "title")
 
 
 def lookup_titles(items: DataFrame, queries: DataFrame) -> DataFrame:
@@ -87,12 +90,17 @@ def lookup_titles(items: DataFrame, queries: DataFrame) -> DataFrame:
     else the containing title with the highest similarity ratio."""
     asked = queries.select("query_id", F.lower("title").alias("needle"))
     slim = items.select("item_id", "title", "popularity")
-    exact = slim.withColumn("needle", F.lower("title")).join(asked, "needle")
-    exact = keep_one(
-        exact.withColumn("_p", -F.coalesce(F.col("popularity").cast("double"), F.lit(-1.0))),
-        ["query_id"],
+    # One winner per title before any query is met: no product per title.
+    winners = keep_one(
+        slim.where(F.col("title").isNotNull())
+        .withColumn("needle", F.lower("title"))
+        .withColumn("_p", -F.coalesce(F.col("popularity").cast("double"), F.lit(-1.0))),
+        ["needle"],
         ["_p", "item_id"],
-    ).select("query_id", "item_id", "title", F.lit("exact").alias("how"))
+    )
+    exact = winners.join(asked, "needle").select(
+        "query_id", "item_id", "title", F.lit("exact").alias("how")
+    )
     rest = asked.join(exact.select("query_id"), "query_id", "left_anti")
     near = contains_matches(slim, rest, "title")
     near = near.withColumn("_r", -similarity(F.lower("title"), F.col("needle")))
@@ -110,7 +118,8 @@ def reference_items(items: DataFrame, queries: DataFrame, vectors: DataFrame) ->
         "query_id", F.posexplode("intent.similar_movies").alias("pos", "title")
     ).select("query_id", "pos", F.lower("title").alias("needle"))
     slim = items.select("item_id", "title")
-    exact = slim.withColumn("needle", F.lower("title")).join(asked, "needle").withColumn(
+    titled = slim.where(F.col("title").isNotNull()).withColumn("needle", F.lower("title"))
+    exact = keep_one(titled, ["needle"], ["item_id"]).join(asked, "needle").withColumn(
         "how", F.lit(1)
     )
     inner = contains_matches(slim, asked, "title").withColumn("how", F.lit(2))

@@ -9,10 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import blank, finite
 from ..schema import ITEM_COLUMNS, schema_matches
-from .grouping import duplicate_members
 
-# Rows above which distinct counts are approximate.
-EXACT_LIMIT = 5_000_000
+# Severities of broken rules.
 CRITICAL, HIGH, MEDIUM = "CRITICAL", "HIGH", "MEDIUM"
 
 
@@ -114,19 +112,21 @@ def type_summary(df: DataFrame) -> DataFrame:
 
 
 def sample_records(df: DataFrame, n: int = 5) -> DataFrame:
-    """First n rows as JSON, NaN and infinities as null."""
+    """n rows as JSON, NaN and infinities as null: those of the least digest,
+    so that the choice does not depend on partitions."""
     clean = [
         finite(F.col(f.name)).alias(f.name)
         if f.dataType.typeName() in ("float", "double")
         else F.col(f.name)
         for f in df.schema
     ]
-    return df.select(F.to_json(F.struct(*clean)).alias("record")).limit(n)
+    records = df.select(F.to_json(F.struct(*clean)).alias("record"))
+    return records.orderBy(F.xxhash64("record"), "record").limit(n)
 
 
-def profile(df: DataFrame, name: str) -> DataFrame:
-    """Column profile: one row per column with nulls and distinct values."""
-    approximate = df.limit(EXACT_LIMIT + 1).count() > EXACT_LIMIT
+def profile(df: DataFrame, name: str, approximate: bool = False) -> DataFrame:
+    """Column profile: one row per column with nulls and distinct values,
+    counted exactly at any size unless sketches are asked for."""
     types = df.sparkSession.createDataFrame(
         [(f.name, f.dataType.simpleString()) for f in df.schema], "column string, type string"
     )
@@ -216,22 +216,44 @@ def quality_metrics(items: DataFrame) -> DataFrame:
     flags = item_flags()
     wide = items.agg(*[F.count_if(c).alias(n) for n, c in flags.items()])
     metrics = wide.unpivot([], list(flags), "metric", "value")
-    for name, keys, nulls in (
-        ("duplicate_imdb_ids", ["imdb_id"], False),
-        ("duplicate_tmdb_ids", ["tmdb_id"], False),
-        ("duplicate_title_year_combinations", ["title", "release_year"], True),
-    ):
-        counted = duplicate_members(items, keys, nulls)
-        metrics = metrics.unionByName(
-            counted.select(F.lit(name).alias("metric"), F.col("members").alias("value"))
-        )
-    return metrics
+    return metrics.unionByName(duplicate_metrics(items))
+
+
+# Metric of repeated keys: its columns and whether nulls count as a key.
+_DUPLICATES = {
+    "duplicate_imdb_ids": (["imdb_id"], False),
+    "duplicate_tmdb_ids": (["tmdb_id"], False),
+    "duplicate_title_year_combinations": (["title", "release_year"], True),
+}
+
+
+def duplicate_metrics(items: DataFrame) -> DataFrame:
+    """(metric, value): rows that share a key with others, for three keys at
+    once. Each row is one (metric, digest of the key) per key, counted before
+    it is shuffled."""
+    entries = []
+    for name, (keys, nulls) in _DUPLICATES.items():
+        text = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
+        known = F.lit(True) if nulls else F.col(keys[0]).isNotNull()
+        entries.append(F.struct(F.lit(name).alias("metric"), F.when(known, F.md5(text)).alias("k")))
+    long = items.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
+    counted = long.where("k is not null").groupBy("metric", "k").count()
+    sums = counted.where("count > 1").groupBy("metric").agg(F.sum("count").alias("value"))
+    names = items.sparkSession.createDataFrame([(n,) for n in _DUPLICATES], "metric string")
+    return names.join(sums, "metric", "left").select(
+        "metric", F.coalesce("value", F.lit(0)).cast("bigint").alias("value")
+    )
+
+
+def valid_item() -> Column:
+    """Titled, with an id and, when rated, a rating in range."""
+    rated_ok = F.col("rating_value").isNull() | ~rating_out_of_range()
+    return F.coalesce(~blank(F.col("title")) & ~no_ids() & rated_ok, F.lit(False))
 
 
 def keep_valid(items: DataFrame) -> DataFrame:
     """Titled items with an id and, when rated, a rating in range."""
-    rated_ok = F.col("rating_value").isNull() | ~rating_out_of_range()
-    return items.where(~blank(F.col("title")) & ~no_ids() & rated_ok)
+    return items.where(valid_item())
 
 
 def value_frequency(items: DataFrame, column: str, top: int | None = None) -> DataFrame:
@@ -246,12 +268,17 @@ def value_frequency(items: DataFrame, column: str, top: int | None = None) -> Da
     return ordered if top is None else ordered.limit(top)
 
 
-def rating_histogram(items: DataFrame) -> DataFrame:
-    """(bin, count): whole-number bins 1 to 9, the last one closed."""
+def rating_bin() -> Column:
+    """Whole-number bin 1 to 9 of a rating, the last one closed."""
     n = F.greatest(F.lit(1), F.least(F.lit(9), F.floor("rating_value"))).cast("int")
+    return F.when(F.col("rating_value").isNotNull(), n)
+
+
+def rating_histogram(items: DataFrame) -> DataFrame:
+    """(bin, count): whole-number bins 1 to 9."""
     return (
         items.where(F.col("rating_value").isNotNull())
-        .groupBy(n.alias("_n"))
+        .groupBy(rating_bin().alias("_n"))
         .agg(F.count("*").alias("count"))
         .select(
             F.concat(
@@ -275,23 +302,38 @@ def quality_report(items: DataFrame) -> DataFrame:
             F.col(value).cast("double").alias("value"),
         )
 
-    total = items.agg(F.count("*").alias("value")).withColumn("name", F.lit("initial_rows"))
-    final = keep_valid(items).agg(F.count("*").alias("value")).withColumn(
-        "name", F.lit("final_rows")
-    )
-    present = [c for c in ITEM_COLUMNS if c in items.columns]
-    consistent = items.sparkSession.range(1).select(
-        F.lit("schema_consistent").alias("name"),
-        F.lit(1.0 if schema_matches(items) else 0.0).alias("value"),
-    )
+    valid = valid_item()
+    wide = {
+        ("statistics", "initial_rows"): F.count("*"),
+        ("statistics", "final_rows"): F.count_if(valid),
+        ("statistics", "schema_consistent"): F.lit(1.0 if schema_matches(items) else 0.0),
+        **{("metrics", n): F.count_if(c) for n, c in item_flags().items()},
+        **{
+            ("missing", c): F.count_if(F.col(c).isNull())
+            for c in ITEM_COLUMNS
+            if c in items.columns
+        },
+        **{("ratings", f"{n}.0-{n + 1}.0"): F.count_if(rating_bin() == n) for n in range(1, 10)},
+    }
+    # Everything that is a number over all rows comes from one pass.
+    one = items.agg(*[c.cast("double").alias(f"c{i}") for i, c in enumerate(wide.values())])
+    counted = one.select(
+        F.explode(
+            F.array(
+                *[
+                    F.struct(
+                        F.lit(label).alias("section"), F.lit(n).alias("name"),
+                        F.col(f"c{i}").alias("value"),
+                    )
+                    for i, (label, n) in enumerate(wide)
+                ]
+            )
+        ).alias("e")
+    ).select("e.*")
     parts = [
-        section(total, "statistics", "name", "value"),
-        section(final, "statistics", "name", "value"),
-        section(consistent, "statistics", "name", "value"),
-        section(quality_metrics(items), "metrics", "metric", "value"),
+        counted.where((F.col("section") != "ratings") | (F.col("value") > 0)),
+        section(duplicate_metrics(items), "metrics", "metric", "value"),
         section(value_frequency(items, "genres"), "genres", "value", "count"),
         section(value_frequency(items, "languages", 30), "languages", "value", "count"),
-        section(rating_histogram(items), "ratings", "bin", "count"),
-        section(missing_values(items.select(present)), "missing", "column", "null_count"),
     ]
     return reduce(DataFrame.unionByName, parts)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import contextlib
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -10,27 +10,41 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 # Row bound under which a side may be broadcast (or brought to tasks whole).
 BROADCAST_ROWS = 100_000
-# Private folders of applications without a shared one.
-_PRIVATE: dict[str, str] = {}
+# Folders written by this process, so that a job can remove its own.
+_WRITTEN: list[str] = []
 # Copies of the small side when it is too large to broadcast.
 SALTS = 16
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach. The cluster names it; a private one
-    is made only when the setting is absent (tests, laptops)."""
+    """Folder every executor can reach: the one the cluster names, else a
+    folder below the warehouse, which tables share anyway."""
     root = spark.conf.get(CHECKPOINT_KEY, None)
     if not root:
-        app = spark.sparkContext.applicationId
-        if app not in _PRIVATE:
-            _PRIVATE[app] = "file:" + tempfile.mkdtemp(prefix="curatrix-")
-        root = _PRIVATE[app]
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     return root.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """Fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Remove what is written to the shared folder within the block at its
+    end. Frames that are still to be read must be used up inside."""
+    before = len(_WRITTEN)
+    try:
+        yield
+    finally:
+        hadoop = spark._jvm.org.apache.hadoop.fs
+        for path in _WRITTEN[before:]:
+            at = hadoop.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        del _WRITTEN[before:]
 
 
 def settle(df: DataFrame, label: str = "stage") -> DataFrame:

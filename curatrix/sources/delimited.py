@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-# Null spellings, delimiters tried, bytes looked at.
+# Null spellings, delimiters tried.
 NULL_TOKENS = ["\\N", "NA", "NaN", ""]
 DELIMITERS = [",", "\t", ";", "|"]
-SNIFF_BYTES = 15000
 
 
 def nulls_for_tokens(df: DataFrame) -> DataFrame:
@@ -23,12 +22,15 @@ def nulls_for_tokens(df: DataFrame) -> DataFrame:
 
 def read_delimited(
     spark: SparkSession, path, schema: T.StructType | str, sep: str = ",",
-    encoding: str = "UTF-8", corrupt: str | None = None,
+    encoding: str = "UTF-8", corrupt: str | None = None, line_breaks: bool | None = None,
 ) -> DataFrame:
     """Delimited files with a declared schema and a header line. Tab-separated
     files have no quoting; broken rows are kept as nulls, with their text in
     `corrupt` when that column is in the schema. Everything is read as text
-    where tokens can hide nulls, then cast leniently."""
+    where tokens can hide nulls, then cast leniently. line_breaks says whether
+    quoted values may hold them, by default in all but tab-separated files;
+    without, a large file is read in many splits."""
+    line_breaks = sep != "\t" if line_breaks is None else line_breaks
     wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     as_text = T.StructType([T.StructField(f.name, T.StringType()) for f in wanted])
     reader = (
@@ -38,7 +40,7 @@ def read_delimited(
         .option("encoding", encoding)
         .option("mode", "PERMISSIVE")
         .option("escape", '"')
-        .option("multiLine", sep != "\t")
+        .option("multiLine", line_breaks)
     )
     if sep == "\t":
         reader = reader.option("quote", "")
@@ -61,10 +63,8 @@ def spread_gzip(df: DataFrame) -> DataFrame:
 
 
 def spread(scan: DataFrame) -> DataFrame:
-    """Rows over all cores when fewer files than cores feed heavy work per
-    row; a table of more files stays as it is. Only file names are looked at."""
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if len(scan.inputFiles()) < cores else scan
+    """Rows over all cores, before heavy work per row."""
+    return scan.repartition(scan.sparkSession.sparkContext.defaultParallelism)
 
 
 def read_parquet(spark: SparkSession, path, columns: list[str] | None = None) -> DataFrame:
@@ -72,16 +72,21 @@ def read_parquet(spark: SparkSession, path, columns: list[str] | None = None) ->
     return df.select(*columns) if columns else df
 
 
-def dialects(spark: SparkSession, path, pattern: str = "*") -> DataFrame:
-    """(folder, file, encoding, delimiter) for every file below a path, judged on the
-    first bytes: utf-8 when they decode, else latin-1, which always does; the
-    most frequent delimiter of the header, else the default of the suffix."""
+def dialects(
+    spark: SparkSession, path, pattern: str = "*", sample_bytes: int | None = None
+) -> DataFrame:
+    """(folder, file, encoding, delimiter) for every file below a path: utf-8
+    when all bytes decode, else latin-1, which always does; the most frequent
+    delimiter of the header line, else the default of the suffix. A file is one
+    row of at most 2 GB; sample_bytes judges larger ones on their first bytes,
+    and can then take a later latin-1 character for utf-8."""
+    head = F.col("content") if sample_bytes is None else F.substring("content", 1, sample_bytes)
     files = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", pattern)
         .option("recursiveFileLookup", True)
         .load(path)
-        .select("path", F.substring("content", 1, SNIFF_BYTES).alias("head"))
+        .select("path", head.alias("head"))
     )
     # Bytes that do not survive decoding and encoding were not utf-8; the last
     # three may be a character cut by the sample.
@@ -89,7 +94,9 @@ def dialects(spark: SparkSession, path, pattern: str = "*") -> DataFrame:
     cut = F.try_validate_utf8(
         F.expr("substring(head, 1, greatest(0, length(head) - 3))").cast("string")
     )
-    utf8 = text.isNotNull() | ((F.octet_length("head") == SNIFF_BYTES) & cut.isNotNull())
+    utf8 = text.isNotNull()
+    if sample_bytes is not None:
+        utf8 = utf8 | ((F.octet_length("head") == sample_bytes) & cut.isNotNull())
     decoded = F.decode("head", "ISO-8859-1")
     header = F.get(
         F.filter(
@@ -114,15 +121,12 @@ def dialects(spark: SparkSession, path, pattern: str = "*") -> DataFrame:
     )
 
 
-def load_statistics(df: DataFrame, name: str, sample_rows: int = 100) -> DataFrame:
-    """One row: rows, columns, and size estimated from a small sample."""
-    sample = df.limit(sample_rows).select(
-        F.octet_length(F.to_json(F.struct(*df.columns))).alias("b")
-    ).agg(F.avg("b").alias("_bytes")).withColumn("table", F.lit(name))
-    total = df.agg(F.count("*").alias("row_count")).withColumn("table", F.lit(name))
-    return total.join(sample, "table").select(
-        "table",
+def load_statistics(df: DataFrame, name: str) -> DataFrame:
+    """One row: rows, columns, and the bytes of all rows as JSON text."""
+    size = F.sum(F.octet_length(F.to_json(F.struct(*df.columns))).cast("bigint"))
+    return df.agg(F.count("*").alias("row_count"), size.alias("_bytes")).select(
+        F.lit(name).alias("table"),
         "row_count",
         F.lit(len(df.columns)).alias("column_count"),
-        (F.col("row_count") * F.coalesce("_bytes", F.lit(0.0))).cast("bigint").alias("est_bytes"),
+        F.coalesce("_bytes", F.lit(0)).cast("bigint").alias("est_bytes"),
     )

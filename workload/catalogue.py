@@ -372,7 +372,7 @@ _DOC = " || ".join(
     cte("items") + f"select item_id, md5({_DOC}) as digest, length({_DOC}) as size from items",
 )
 def f14(spark, sf):
-    doc = D.item_document()
+    doc = D.item_document(first_cast=10)
     return full_items(spark, sf).select(
         "item_id", F.md5(doc).alias("digest"), F.length(doc).cast("bigint").alias("size")
     )
@@ -391,7 +391,7 @@ def f15(spark, sf):
     c = F.col
     doc = D.embedding_document(
         c("title"), c("tagline"), c("overview"), c("genres"), c("keywords"), c("cast"),
-        c("directors"),
+        c("directors"), first_cast=10,
     )
     return items(spark, sf).select("item_id", F.md5(doc).alias("digest"))
 
@@ -408,7 +408,7 @@ SEARCH_TEXT = """coalesce(title, '') || ' ' || coalesce(overview, '') || ' ' ||
     cte("items") + f"select item_id, md5({SEARCH_TEXT}) as digest from items",
 )
 def f16(spark, sf):
-    return items(spark, sf).select("item_id", F.md5(D.search_text()).alias("digest"))
+    return items(spark, sf).select("item_id", F.md5(D.search_text(first_cast=10)).alias("digest"))
 
 
 @query(
@@ -560,7 +560,7 @@ def f38(spark, sf):
 )
 def f40(spark, sf):
     p = F.col("p")
-    d = P.detail_fields(p)
+    d = P.detail_fields(p, first_cast=10, first_stubs=5)
     return P.parsed_payload(payloads(spark, sf), "payload").select(
         "tmdb_id",
         F.array_join(P.names(p["genres"]), "|").alias("genres"),
@@ -626,7 +626,7 @@ def f43(spark, sf):
       from part where p_size % 2 = 0""",
 )
 def f44(spark, sf):
-    d = P.detail_fields(F.col("p"))
+    d = P.detail_fields(F.col("p"), first_cast=10, first_stubs=5)
     s = F.get(d["similar_movies"], 0)
     stub = F.concat_ws(
         "/", s["title"], s["release_year"].cast("string"), s["rating"].cast("string"),

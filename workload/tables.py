@@ -18,11 +18,18 @@ from . import query
 from .fixtures import TABLES, cte, full_items, items, table, vectors
 
 
-@query("s1_source_manifest")
+@query(
+    "s1_source_manifest",
+    "select * from (values "
+    + ", ".join(f"('{t}.parquet', 'present')" for t in TABLES[1:])
+    + f""", ('{TABLES[0]}.parquet', 'unexpected'), ('absent.csv', 'missing')) t(file, state)""",
+)
 def source_manifest(spark, sf):
+    """The folder's name is the provider; its tables are files."""
     provider = sf.rstrip("/").rsplit("/", 1)[-1].lower()
     wanted = {provider: [f"{t}.parquet" for t in TABLES[1:]] + ["absent.csv"], "other": ["x.csv"]}
-    return manifest.check_manifest(manifest.found_files(spark, sf), wanted)
+    found = manifest.found_files(spark, sf)
+    return manifest.check_manifest(found, wanted).select("file", "state")
 
 
 @query(
