@@ -18,7 +18,7 @@ LINES = 64
 # A vector is verified once it collides on this share of the lines.
 COLLISIONS = 0.55
 # Share of a segment verified before a query stops widening, and the least.
-VERIFY, VERIFY_LEAST = 0.13, 400
+VERIFY, VERIFY_LEAST = 0.2, 400
 # Vectors of a segment (their places fit 16 bits), queries of a block.
 SEGMENT, QUERY_BLOCK = 16_384, 4096
 # First window, in standard deviations, and the factor of each widening.

@@ -15,9 +15,10 @@ from .common import blocks, key_type, keyed_texts, labelled_sample
 ORDERS = (3, 4, 5)
 BUCKETS = 1 << 18
 # Bounds of the rows a model is fitted on.
-FIT_ROWS, FIT_CHARS = 3000, 16_000
-# An n-gram seen in fewer fitted documents has no say.
-LEAST_DOCUMENTS = 3
+FIT_ROWS, FIT_CHARS = 4000, 16_000
+# An n-gram seen in fewer fitted documents, or whose log-count ratio lies
+# within this many standard errors of zero, has no say.
+LEAST_DOCUMENTS, ERRORS = 3, 2.5
 THRESHOLD = 0.3
 
 
@@ -50,20 +51,17 @@ def _sigmoid(x):
 
 @dataclass
 class Model:
-    """ratio: log-count ratio of each bucket; weight: the linear weights of
-    the scaled features, already times the ratio; bias."""
+    """weight: the linear weights of the scaled features, already times the
+    log-count ratio of their bucket; bias."""
 
-    ratio: np.ndarray
     weight: np.ndarray
     bias: float
 
     def score(self, grams: np.ndarray) -> float:
-        norm = np.sqrt(np.square(self.ratio[grams]).sum()) if len(grams) else 0.0
-        total = self.weight[grams].sum() / norm if norm > 0 else 0.0
-        return float(_sigmoid(total + self.bias))
+        return float(_sigmoid(self.weight[grams].sum() + self.bias))
 
 
-def fit(sample: list[tuple[str, int]], steps: int = 100, penalty: float = 1e-3) -> Model:
+def fit(sample: list[tuple[str, int]], steps: int = 200, penalty: float = 3.0) -> Model:
     """Ratios and logistic weights of (text, 0 or 1) pairs. Without pairs of
     both classes every score is the smoothed share of class 1 (none: one half)."""
     grams = Grams()
@@ -73,20 +71,17 @@ def fit(sample: list[tuple[str, int]], steps: int = 100, penalty: float = 1e-3)
     bias = float(np.log(prior / (1 - prior)))
     zero = np.zeros(BUCKETS, dtype=np.float32)
     if not len(y) or y.min() == y.max():
-        return Model(zero, zero, bias)
+        return Model(zero, bias)
     at = np.concatenate(rows)
     row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     one = np.bincount(at, weights=y[row], minlength=BUCKETS)
     both = np.bincount(at, minlength=BUCKETS)
     p, q = 1.0 + one, 1.0 + both - one
-    ratio = np.log((p / p.sum()) / (q / q.sum()))
-    ratio -= np.log((1 + y.sum()) / (1 + len(y) - y.sum())) - np.log(p.sum() / q.sum())
-    ratio[both < LEAST_DOCUMENTS] = 0.0
+    ratio = np.log(p / (1.0 + y.sum())) - np.log(q / (1.0 + len(y) - y.sum()))
+    ratio[(both < LEAST_DOCUMENTS) | (np.abs(ratio) < ERRORS * np.sqrt(1 / p + 1 / q))] = 0.0
     used = ratio[at] != 0
     at, row = at[used], row[used]
     x = ratio[at]
-    norm = np.sqrt(np.bincount(row, weights=x * x, minlength=len(rows)))
-    x = x / np.maximum(norm[row], 1e-12)
     names, at = np.unique(at, return_inverse=True)
     w = np.zeros(len(names) + 1)
     w[-1] = bias
@@ -97,10 +92,10 @@ def fit(sample: list[tuple[str, int]], steps: int = 100, penalty: float = 1e-3)
         slope = np.append(slope + penalty * w[:-1] / len(y), gap.mean())
         first = 0.9 * first + 0.1 * slope
         second = 0.99 * second + 0.01 * slope * slope
-        w -= 0.2 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-9)
+        w -= 0.02 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-9)
     weight = zero.copy()
     weight[names] = w[:-1] * ratio[names]
-    return Model(ratio.astype(np.float32), weight, float(w[-1]))
+    return Model(weight, float(w[-1]))
 
 
 def score_toxicity(
