@@ -472,8 +472,16 @@ def _video(kind: str, name: str, key: str) -> str:
     return f'{{"site": "YouTube", "type": "{kind}", "name": "{name}", "key": "{key}"}}'
 
 
+def landed_payloads(spark, sf) -> DataFrame:
+    """Payloads that have landed so far: those of parts of even size, so that
+    enrichment meets items with and without one."""
+    sizes = table(spark, sf, "part").where("p_size % 2 = 0")
+    landed = sizes.select(F.col("p_partkey").cast("bigint").alias("tmdb_id"))
+    return payloads(spark, sf).join(landed, "tmdb_id", "left_semi")
+
+
 def payloads(spark, sf) -> DataFrame:
-    """Detail payloads (tmdb_id, payload) for parts of even size."""
+    """Detail payloads (tmdb_id, payload) of all parts."""
     c, k = F.col, F.col("p_partkey")
     teaser, plain = _video("Teaser", "T", "tea@N"), _video("Trailer", "One", "tra@N")
     official = _video("Trailer", "The OFFICIAL cut", "off@N")
@@ -507,7 +515,7 @@ def payloads(spark, sf) -> DataFrame:
     ]
     for mark, value in marks:
         text = F.replace(text, F.lit(mark), value)
-    return table(spark, sf, "part").where("p_size % 2 = 0").select(
+    return table(spark, sf, "part").select(
         k.cast("bigint").alias("tmdb_id"), text.alias("payload")
     )
 
@@ -523,7 +531,7 @@ _TRAILER = """case p_partkey % 4 when 0 then 'off' || p_partkey when 1 then 'tra
 
 @query(
     "f37_image_address",
-    f"select p_partkey as tmdb_id, {_POSTER} as poster_path from part where p_size % 2 = 0",
+    f"select p_partkey as tmdb_id, {_POSTER} as poster_path from part",
 )
 def f37(spark, sf):
     p = P.parsed_payload(payloads(spark, sf), "payload")
@@ -556,7 +564,7 @@ def f38(spark, sf):
       as directors, 'Wri' as writers, 'Pro' as producer, 'Com' as composer,
       'Cin' as cinematographer, case when p_partkey % 2 = 0 then 'Saga ' || p_brand end
       as collection, cast(1960 + p_size % 30 as int) as release_year
-      from part where p_size % 2 = 0""",
+      from part""",
 )
 def f40(spark, sf):
     p = F.col("p")
@@ -582,7 +590,7 @@ def f40(spark, sf):
     f"""select p_partkey as tmdb_id, {_TRAILER} as youtube_key,
       'https://www.youtube.com/watch?v=' || {_TRAILER} as trailer_url,
       case p_partkey % 4 when 0 then 'Trailer' when 1 then 'Trailer' when 2 then 'Teaser' end
-        as trailer_type from part where p_size % 2 = 0""",
+        as trailer_type from part""",
 )
 def f41(spark, sf):
     rows = P.parsed_payload(payloads(spark, sf), "payload")
@@ -597,7 +605,7 @@ def f41(spark, sf):
 
 @query(
     "f42_provider_choice",
-    f"select p_partkey as tmdb_id, {_PROVIDER} as providers from part where p_size % 2 = 0",
+    f"select p_partkey as tmdb_id, {_PROVIDER} as providers from part",
 )
 def f42(spark, sf):
     rows = P.parsed_payload(payloads(spark, sf), "payload")
@@ -608,7 +616,7 @@ def f42(spark, sf):
     "f43_certification",
     """select p_partkey as tmdb_id, case p_partkey % 3 when 0 then 'R' end as home,
       case p_partkey % 3 when 0 then 'R' when 1 then '12' end as anywhere
-      from part where p_size % 2 = 0""",
+      from part""",
 )
 def f43(spark, sf):
     p = F.col("p")
@@ -623,7 +631,7 @@ def f43(spark, sf):
     "f44_stub_mapping",
     """select p_partkey as tmdb_id, 'S/2001/5.5/https://image.tmdb.org/t/p/w500/s.jpg/http://b'
       as stub, 'https://image.tmdb.org/t/p/w500/l' || p_partkey || '.png' as logo_url
-      from part where p_size % 2 = 0""",
+      from part""",
 )
 def f44(spark, sf):
     d = P.detail_fields(F.col("p"), first_cast=10, first_stubs=5)
@@ -684,7 +692,7 @@ def e4(spark, sf):
         "imdb_id",
         F.when(F.col("item_id") % 20 != 14, F.col("item_id")).otherwise(0).alias("tmdb_id"),
     )
-    done = E.enrich(rows, payloads(spark, sf), mapping)
+    done = E.enrich(rows, landed_payloads(spark, sf), mapping)
     return done.select(
         "item_id", "poster_path", "trailer_url",
         F.array_join("streaming_providers", "|").alias("providers"),
@@ -726,7 +734,7 @@ def j11(spark, sf):
 )
 def r16(spark, sf):
     rows = full_items(spark, sf)
-    done = E.with_details(rows, payloads(spark, sf))
+    done = E.with_details(rows, landed_payloads(spark, sf))
     return done.select(
         "item_id", "title", "original_title", "runtime_minutes", "vote_count", "rating_value",
         F.array_join("cast", "|").alias("people"), "status",

@@ -11,10 +11,13 @@ from curatrix.plans import assembly as A, recommend as R, search as H, similar a
 from curatrix.session import settle
 
 from . import query
-from .catalogue import SEARCH_TEXT
+from .catalogue import SEARCH_TEXT as FIRST_TEN_TEXT
 from .fixtures import ask_vectors, asks, cte, full_items, items, table, vectors
 from .texts import _UNIT, bm25_ctes
 
+# Retrieval searches the whole cast; the cut is an option of the text.
+SEARCH_TEXT = FIRST_TEN_TEXT.replace("people[1:10]", "people")
+
 # --- structured filter -----------------------------------------------------
 _CODE = "case q.language when 'english' then 'en' when 'fr' then 'fr' end"
 _LOW = "list_transform({0}, lambda x: lower(x))"
@@ -411,18 +414,15 @@ _STRICT = f"""
 """
 _JUDGED = f"""
   , cand as (select q.query_id as qid, i.* from asks q join items i
-      on list_has_any(i.keywords, ['red', 'small', 'hot']) and i.runtime_minutes > 100 + q.query_id % 40),
+      on i.runtime_minutes > 100 + q.query_id % 40),
   judged as (select q.query_id, i.item_id, list_filter([{_STRICT}], lambda r: r is not null)
       as reasons from cand i join asks q on q.query_id = i.qid)
 """
 
 
 def _candidates(spark, sf):
-    """Candidate pairs: red, small and hot items longer than a query's floor."""
-    k = items(spark, sf).where(
-        F.arrays_overlap("keywords", F.array(F.lit("red"), F.lit("small"), F.lit("hot")))
-        & (F.col("runtime_minutes") > 100)
-    )
+    """Candidate pairs: items longer than a query's floor."""
+    k = items(spark, sf).where(F.col("runtime_minutes") > 100)
     lengths = k.withColumn(
         "_floor", F.explode(F.sequence(F.lit(100), F.col("runtime_minutes") - 1))
     )

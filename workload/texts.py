@@ -121,8 +121,7 @@ def j15_top(spark, sf):
     "j15_bm25_salted_join",
     "with d as (select page_id as id, html as text from pages), "
     + bm25_ctes(
-        "d", "(select conv_id * 1000 + turn as query_id, text from conversations "
-        "where role = 'user')"
+        "d", "(select conv_id * 1000 + turn as query_id, text from conversations)"
     )
     + """select query_id, id as page_id, rank, round(score, 6) as score from (select *,
       row_number() over (partition by query_id order by round(score, 9) desc, id) as rank
@@ -131,7 +130,7 @@ def j15_top(spark, sf):
 def j15_salted(spark, sf):
     """The form for query tables too large to broadcast."""
     pages = table(spark, sf, "pages").select("page_id", F.col("html").alias("text"))
-    asked = table(spark, sf, "conversations").where("role = 'user'").select(
+    asked = table(spark, sf, "conversations").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text"
     )
     s = B.bm25_scores(pages, asked, "page_id", "text", "text", max_broadcast=0)
@@ -194,12 +193,12 @@ def j13(spark, sf):
 
 @query("j13_nearest_in_blocks", _knn_sql(5))
 def j13_blocks(spark, sf):
-    """The form for query tables that do not fit a task."""
+    """The form for query tables that do not fit a task, on a grid of blocks."""
     from curatrix.operators import vectors as V
 
     v = vectors(spark, sf)
-    found = V._block_pairs(v.withColumnRenamed("item_id", "query_id"), v, 5, True)
-    found = top_k(found, ["query_id"], [F.desc("cosine"), F.asc("item_id")], 5)
+    asked = v.withColumnRenamed("item_id", "query_id")
+    found = V.nearest(asked, v, 5, True, query_block=100, item_block=100)
     return found.select("query_id", "item_id", "rank", F.round("cosine", 6).alias("cosine"))
 
 
