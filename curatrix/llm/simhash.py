@@ -74,9 +74,15 @@ def fingerprints(
 
 
 def covering_masks(radius: int) -> list[int]:
-    """One mask per table, 2^(radius+1) - 1 of them, as unsigned numbers."""
+    """One mask per table, 2^(radius+1) - 1 of them, as unsigned numbers.
+
+    The bits' vectors are spread so that every mask keeps about half of the
+    bits (one keeps all for radius 6): all non-zero vectors in turn, or, where
+    there are more vectors than bits, those with the leading bit set."""
+    if not 0 <= radius <= 6:
+        raise ValueError("64 bits are covered evenly up to a radius of 6")
     top = (1 << (radius + 1)) - 1
-    vectors = [i % top + 1 for i in range(BITS)]
+    vectors = [i % top + 1 if top < BITS else BITS + i for i in range(BITS)]
     return [
         sum(1 << i for i, v in enumerate(vectors) if (v & table).bit_count() % 2)
         for table in range(1, top + 1)
@@ -132,16 +138,19 @@ def near_links(prints: DataFrame, radius: int = 4, chunk: int = CHUNK) -> DataFr
             for t, m in enumerate(covering_masks(radius))
         ]
     )
-    rows = prints.select("_id", "_bits", F.explode(tables).alias("_b")).select(
+    # Every row becomes one per table, so few input files must not mean few tasks.
+    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = prints.repartition(parts, "_id")
+    rows = spread.select("_id", "_bits", F.explode(tables).alias("_b")).select(
         "_id", "_bits", "_b.t", "_b.k"
     )
     sizes = rows.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1")
     held = rows.join(sizes, ["t", "k"])
-    parts = F.when(F.col("n") <= chunk, F.lit(1)).otherwise(
+    cuts = F.when(F.col("n") <= chunk, F.lit(1)).otherwise(
         F.ceil(F.col("n") / F.lit(chunk / 2)).cast("int")
     )
-    own = F.pmod(F.xxhash64("_id"), parts)
-    met = held.withColumn("_o", F.explode(F.sequence(F.lit(0), (parts - 1).cast("int"))))
+    own = F.pmod(F.xxhash64("_id"), cuts)
+    met = held.withColumn("_o", F.explode(F.sequence(F.lit(0), (cuts - 1).cast("int"))))
     gathered = met.groupBy("t", "k", F.least(own, "_o").alias("p"), F.greatest(own, "_o").alias("q")).agg(
         F.collect_list(F.struct("_id", "_bits")).alias("held")
     )

@@ -47,6 +47,8 @@ def test_every_near_pair_shares_a_table(radius):
     for _ in range(3000):
         apart = sum(1 << b for b in rng.sample(range(64), radius))
         assert any(apart & m == 0 for m in masks)
+    # Every table tells apart what differs: about half of the bits at least.
+    assert min(m.bit_count() for m in masks) >= 31
 
 
 def test_fingerprints_equal_brute_force(spark):
