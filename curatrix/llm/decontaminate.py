@@ -215,16 +215,14 @@ def _one_pass(docs: DataFrame, tests: list, rate: float, schema: str) -> DataFra
     sent = docs.sparkSession.sparkContext.broadcast(
         ([t["_key"] for t in tests], [t["_text"] for t in tests])
     )
-    fields = docs.sparkSession.createDataFrame([], schema).schema
+    # Types are named, as a block without any hit has no values to tell them.
+    shape = docs.sparkSession.createDataFrame([], schema).toArrow().schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, texts = sent.value
         patterns = TestItems.build(texts, rate)
-        shape = pa.schema(
-            [(f.name, pa.int32()) for f in fields if f.name not in ("_key", "_probe")]
-        )
         for block in blocks(batches):
-            rows, columns = [], {n: [] for n in ["_probe", *shape.names]}
+            rows, columns = [], {n: [] for n in shape.names[1:]}
             for row, raw in enumerate(block.column(1).to_pylist()):
                 plain = normalise(raw)
                 for i, distance, start, end in patterns.matches(plain):
@@ -243,10 +241,8 @@ def _one_pass(docs: DataFrame, tests: list, rate: float, schema: str) -> DataFra
                     ):
                         columns[name].append(value)
             keys = block.column(0).take(pa.array(rows, type=pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [keys, pa.array(columns.pop("_probe")), *(pa.array(columns[n], type=pa.int32()) for n in shape.names)],
-                names=["_key", "_probe", *shape.names],
-            )
+            found = [pa.array(v, type=shape.field(n).type) for n, v in columns.items()]
+            yield pa.RecordBatch.from_arrays([keys, *found], names=shape.names)
 
     return docs.mapInArrow(run, schema)
 

@@ -8,7 +8,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from curatrix.llm import decontaminate, deobfuscate, licences, queries, secret_scan
+from curatrix.llm import common, decontaminate, deobfuscate, licences, queries, secret_scan
 
 SF = "/root/testdata/sf0.001"
 ITEMS = "item_id long, document string, kind string, start int, `_key` string, `_text` string"
@@ -213,7 +213,7 @@ def test_bit_parallel_distance():
             assert distance_in(p, t[: got[1]]) == want and distance_in(p, t[: got[1] - 1]) > want
 
 
-def test_passages_equal_brute_force(spark):
+def test_passages_equal_brute_force(spark, monkeypatch):
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("aeinorst") for _ in range(rng.randrange(2, 8)))
     tests = [" ".join(word() for _ in range(rng.randrange(8, 30))) for _ in range(6)]
@@ -237,6 +237,10 @@ def test_passages_equal_brute_force(spark):
         words = decontaminate.normalise(docs[r.item_id]).split(" ")
         passage = " ".join(words[r.first_word : r.last_word + 1])
         assert distance_in(decontaminate.normalise(tests[r.query_id]), passage) == r.distance
+    # Blocks without a hit stand between others in one task.
+    monkeypatch.setattr(decontaminate, "blocks", lambda batches: common.blocks(batches, 300))
+    small = decontaminate.find_test_items(items(spark, docs).coalesce(1), probes).collect()
+    assert sorted(map(tuple, small)) == sorted(map(tuple, got))
     many = decontaminate.find_test_items(items(spark, docs), probes, pass_chars=100).collect()
     assert sorted(map(tuple, many)) == sorted(map(tuple, got))
 
