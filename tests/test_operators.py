@@ -11,6 +11,7 @@ from curatrix.operators.evaluation import confidence, judge_results
 from curatrix.operators.grouping import keep_one, merged_lists, narrow_two_lists, sole_owner
 from curatrix.operators.quality import quality_metrics, rating_histogram, value_frequency
 from curatrix.operators.ranking import similar_rerank
+from curatrix.plans.search import retrieve
 from curatrix.schema import conform_items, make_intent
 from curatrix.session import lookup_join
 
@@ -170,6 +171,43 @@ def test_hard_filter_and_ladder(spark):
     assert done.relax_level == 3 and done.intent.genres == [] and done.intent.runtime is None
 
 
+def test_relaxed_queries_are_scored_as_asked(spark):
+    """The filter drops a genre that nothing has; the scores still ask for it."""
+    items = hard_items(spark).withColumns(
+        {n: F.lit(None).cast("string") for n in ("overview", "tagline", "plot_summary")}
+    )
+    q = spark.range(1).select(
+        F.lit(1).alias("query_id"), F.lit("matrix").alias("text"),
+        make_intent(genres=lits("Western")).alias("intent"),
+    )
+    vectors = items.select("item_id", F.array(F.lit(1.0), F.col("item_id") * 1.0).alias("vector"))
+    asked = q.select("query_id", F.array(F.lit(1.0), F.lit(2.0)).alias("vector"))
+    found = retrieve(items, q, vectors, asked).collect()
+    assert {r.item_id for r in found} == {1, 2, 3, 4}
+    # With the loosened intent nothing would be asked for and all would score 1.
+    assert {r.metadata for r in found} == {0.0}
+    strict = retrieve(items, q, vectors, asked, relaxing=False)
+    assert strict.count() == 0
+
+
+def test_nearest_in_blocks_equals_brute_force(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.integers(-2, 3, 3)]) for i in range(90)]
+    v = spark.createDataFrame(rows, "item_id long, vector array<double>")
+    asked = v.withColumnRenamed("item_id", "query_id")
+    unit = np.array([r[1] for r in rows])
+    unit = unit / np.maximum(np.sqrt((unit * unit).sum(axis=1, keepdims=True)), 1e-12)
+    want = {}
+    for i in range(90):
+        order = sorted((-round(float(unit[i] @ unit[j]), 9), j) for j in range(90) if j != i)
+        want[i] = [round(-s, 9) for s, _ in order[:7]]
+    for blocks in ({}, {"query_block": 20, "item_block": 25}):
+        got = {}
+        for r in V.nearest(asked, v, 7, True, **blocks).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append(round(r.cosine, 9))
+        assert got == want
+
+
 def test_narrowing_keeps_fifteen_different(spark):
     rows = [(1, i, float(i), float((i * 37) % 50)) for i in range(50)]
     df = spark.createDataFrame(rows, "query_id int, item_id int, semantic double, bm25_norm double")

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from curatrix.plans import embedding as E, enrichment as N, merge as G
 from curatrix.schema import conform_items
-from curatrix.session import scratch_path
+from curatrix.session import scratch, scratch_path, settle
 from curatrix.sources import delimited, manifest, sinks
 from curatrix.streaming import incremental as S
 
@@ -157,6 +157,19 @@ def test_merge_rewrites_touched_buckets_only(spark):
     assert len(sinks.complete_versions(spark, table)) == 3
 
 
+def test_a_job_removes_what_it_wrote(spark):
+    with scratch(spark):
+        kept = settle(spark.range(3), "job")
+        path = kept.inputFiles()[0].rsplit("/", 1)[0]
+        assert spark.read.parquet(path).count() == 3
+    try:
+        spark.read.parquet(path).count()
+    except Exception as e:
+        assert "PATH_NOT_FOUND" in str(e) or "FileNotFound" in str(e)
+    else:
+        raise AssertionError("still there")
+
+
 def test_manifest_and_delimited(spark):
     root = scratch_path(spark, "raw")
     df = spark.createDataFrame([("1", 'say "hi", you', "\\N"), ("2", "NA", "x")], "a string, b string, c string")

@@ -33,6 +33,19 @@ def test_query_equals_sql(spark, con, name):
     assert check.compare(spark, con, name, SF) == ""
 
 
+def test_rankings_do_not_depend_on_partitions(spark):
+    seen = []
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in ("4", "8", "40"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            rows = entry_module.queries()["r9_audit_of_retrieval"](spark, SF).collect()
+            seen.append(sorted(map(tuple, rows)))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert seen[0] == seen[1] == seen[2]
+
+
 def test_entry(spark):
     df = entry_module.entry(spark)
     rows = df.collect()
