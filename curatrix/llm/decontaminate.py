@@ -14,10 +14,10 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import blocks, key_type, keyed_texts, quoted
+from .common import blocks, key_type, keyed_texts
 
 # Share of an item's characters that may be edited.
-ERROR_RATE = 0.05
+ERROR_RATE = 0.08
 # Shorter items say too little to allow edits: they count as whole words only.
 LEAST_CHARS = 24
 # Characters of test items searched for in one pass over the documents.
@@ -199,18 +199,23 @@ def find_test_items(
         f"_key {key_type(docs)}, _probe {key_type(tests)}, distance int, allowed int, "
         "first_word int, last_word int"
     )
-    # Passes are cut by a digest, so that no ordering of all tests is needed.
-    total = tests.agg(F.sum(F.length("_text"))).first()[0] or 0
-    passes = max(1, -(-2 * total // pass_chars))
-    numbered = tests.withColumn("_pass", F.pmod(F.xxhash64("_text"), F.lit(passes)))
-    sizes = {r["_pass"]: r["n"] for r in numbered.groupBy("_pass").agg(F.sum(F.length("_text")).alias("n")).collect()}
     found = items.sparkSession.createDataFrame([], schema)
-    for number in sorted(sizes):
-        part = numbered.where(F.col("_pass") == number).select("_key", "_text").collect()
+    for part in _passes(tests, pass_chars):
         found = found.unionAll(_one_pass(docs, part, error_rate, schema))
     return found.withColumnsRenamed({"_key": key, "_probe": probe_key})
 
 
+def _passes(tests: DataFrame, pass_chars: int) -> Iterator[list]:
+    """Rows of tests(_key, _text) in lists of bounded size. Passes are cut by a
+    digest, so that no ordering of all tests is needed."""
+    size = F.sum(F.length("_text")).alias("n")
+    total = tests.agg(size).first()["n"] or 0
+    passes = max(1, -(-2 * total // pass_chars))
+    numbered = tests.withColumn("_pass", F.pmod(F.xxhash64("_text"), F.lit(passes)))
+    for r in sorted(numbered.select("_pass").distinct().collect()):
+        yield numbered.where(F.col("_pass") == r["_pass"]).select("_key", "_text").collect()
+
+
 def _one_pass(docs: DataFrame, tests: list, rate: float, schema: str) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(
         ([t["_key"] for t in tests], [t["_text"] for t in tests])
@@ -247,7 +252,35 @@ def _one_pass(docs: DataFrame, tests: list, rate: float, schema: str) -> DataFra
     return docs.mapInArrow(run, schema)
 
 
-def without_test_items(items: DataFrame, probes: DataFrame, key: str = "item_id", **options) -> DataFrame:
-    """All rows and columns of the items that hold no evaluation text."""
-    hit = find_test_items(items, probes, key, **options).select(quoted(key)).distinct()
-    return items.join(hit, key, "left_anti")
+def without_test_items(
+    items: DataFrame,
+    probes: DataFrame,
+    text: str = "document",
+    probe_text: str = "text",
+    error_rate: float = ERROR_RATE,
+    pass_chars: int = PASS_CHARS,
+) -> DataFrame:
+    """All rows and columns of the items whose document holds no evaluation
+    text, by the rules of find_test_items. Rows are judged where they lie:
+    nothing is shuffled, and rows with a null or repeated key count each."""
+    tests = (
+        keyed_texts(probes.withColumn("_k", F.lit(0)), "_k", probe_text)
+        .where(F.trim("_text") != "")
+        .dropDuplicates(["_text"])
+    )
+    at = items.columns.index(text)
+    spark = items.sparkSession
+    for part in _passes(tests, pass_chars):
+        sent = spark.sparkContext.broadcast([t["_text"] for t in part])
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            patterns = TestItems.build(sent.value, error_rate)
+            for batch in batches:
+                clean = [
+                    t is None or not patterns.matches(normalise(t))
+                    for t in batch.column(at).to_pylist()
+                ]
+                yield batch.filter(pa.array(clean, type=pa.bool_()))
+
+        items = items.mapInArrow(run, items.schema)
+    return items
