@@ -66,7 +66,7 @@ def test_item_document(spark):
         array('la') as keywords, ' ' as tagline, 'short' as overview, ' a longer plot ' as
         plot_summary"""
     )
-    doc = df.select(D.item_document().alias("d")).first().d
+    doc = df.select(D.item_document(first_cast=10).alias("d")).first().d
     assert doc.startswith("Title: Heat (1995)\nGenres: Crime\nDirected by: M\nStarring: A1, ")
     assert "A10" in doc and "A11" not in doc and "Tagline" not in doc
     assert doc.endswith("Rating: 8.0/10\nKeywords / Themes: la\nDescription: a longer plot")
