@@ -29,7 +29,7 @@ SPACE = "▁"
 PER_CHARACTER = 3.5
 # Factor of a character that no piece covers and that becomes bytes.
 BARE = 1e-4
-BLOCK = 2_000_000
+BLOCK = 700_000
 # No piece crosses from other characters to a space, nor holds a line end, so
 # the lattice falls apart at these places and words can be treated alike.
 _WORDS = re.compile(" *[^ \n]+| +|\n")
