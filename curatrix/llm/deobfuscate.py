@@ -55,10 +55,17 @@ _DIGIT_OR_DOT = re.compile(rf"(?ai){_WORD}|[0-9]|plus|dot")
 _LABEL = r"[A-Za-z0-9-]+"
 _AT_FORM = re.compile(
     rf"(?ai)(?<=[a-z0-9._%+-])(?:{_AT}(?={_LABEL}(?:{_DOT}|\.){_LABEL})"
-    rf"|\s+at\s+(?={_LABEL}{_DOT}{_LABEL})|\s+@\s*(?={_LABEL}(?:{_DOT}|\.){_LABEL})"
-    rf"|@\s+(?={_LABEL}(?:{_DOT}|\.){_LABEL})|@(?={_LABEL}{_DOT}{_LABEL}))"
+    rf"|\s+at\s+(?={_LABEL}(?:\.{_LABEL})*{_DOT}{_LABEL})|\s+@\s*(?={_LABEL}(?:{_DOT}|\.){_LABEL})"
+    rf"|@\s*(?={_LABEL}(?:{_DOT}|\.){_LABEL}))"
 )
 _DOT_FORM = re.compile(rf"(?ai)(?<=[a-z0-9-]){_DOT}(?=[a-z0-9-])")
+_ANY_DOT = re.compile(_DOT, re.A | re.I)
+_BRACKET = re.compile(r"[\[({<]")
+# Words of a local part between disguised dots.
+_LOCAL_WORD = r"[a-z0-9._%+-]"
+_CHAIN = re.compile(rf"(?ai)(?<!{_LOCAL_WORD}){_LOCAL_WORD}++(?:{_DOT}{_LOCAL_WORD}++)+")
+# Four groups of digits or more between dots, disguised or not.
+_GROUPS = re.compile(rf"(?ai)(?<![0-9])[0-9]++(?:(?:{_DOT}|\.)[0-9]++){{3,}}")
 _DISGUISED_AT = re.compile(r"(?ai)[\[({<]\s*(?:at|@)\s*[\])}>]|\bdot\b|\s@|@\s|[\[({<]\s*\.\s*[\])}>]")
 _TAIL = re.compile(rf"{_LABEL}(?:(?:{_DOT}|\.){_LABEL})*", re.A | re.I)
 
@@ -152,22 +159,38 @@ def _visible(out: Rewritten) -> None:
 
 def _undisguised(out: Rewritten) -> None:
     """at and dot. A bare 'at' counts only before a host with a disguised dot;
-    dots are restored only within such a host."""
+    dots are restored within such a host and in the local part before it. A
+    plain address takes words before it only over a dot in brackets."""
+    chains = {m.end(): m for m in _CHAIN.finditer(out.text)}
     edits, done = [], 0
     for m in _AT_FORM.finditer(out.text):
         if m.start() < done:
             continue
-        edits.append((m.start(), m.end(), "@"))
         host = _TAIL.match(out.text, m.end())
-        done = m.end()
-        if host:
-            done = host.end()
+        end = host.end() if host else m.end()
+        after = [(d.start(), d.end(), ".") for d in _DOT_FORM.finditer(out.text, m.end(), end)]
+        local = chains.get(m.start())
+        if local and (m[0] != "@" or after or _BRACKET.search(local[0])):
             edits += [
-                (d.start(), d.end(), ".") for d in _DOT_FORM.finditer(out.text, m.end(), done)
+                (d.start(), d.end(), ".")
+                for d in _ANY_DOT.finditer(out.text, max(done, local.start()), local.end())
             ]
+        edits += [(m.start(), m.end(), "@"), *after]
+        done = end
     out.replace(edits)
 
 
+def _dotted_numbers(out: Rewritten) -> None:
+    """Disguised dots between four groups of digits or more."""
+    out.replace(
+        [
+            (d.start(), d.end(), ".")
+            for m in _GROUPS.finditer(out.text)
+            for d in _ANY_DOT.finditer(out.text, m.start(), m.end())
+        ]
+    )
+
+
 def _digits(out: Rewritten) -> None:
     """Spelled digits in runs of four or more."""
     edits = []
@@ -196,24 +219,34 @@ def rewrite(text: str) -> Rewritten | None:
         _visible(out)
     if odd or at:
         _undisguised(out)
+        _dotted_numbers(out)
     if odd or words:
         _digits(out)
     return None if out.text == text else out
 
 
-def find_in_text(text: str) -> list[tuple[int, int, int, str]]:
-    """(kind number, start, end, origin) by kind, then start. Plain spans all
-    stay; one found after rewriting is added unless a span of its kind that
-    stands already shares characters with it."""
+def _found(text: str) -> tuple[list[tuple[int, int, int, str]], list[tuple[int, int, int]]]:
+    """find_in_text, and the spans found after rewriting that hold a whole
+    plain span of their kind and more."""
     plain = identifiers(text)
     found = [(k, s, e, "base") for k, s, e in plain]
+    wider = []
     out = rewrite(text)
     if out is not None:
         for k, s, e in identifiers(out.text):
             a, b = out.source(s, e)
             if not any(k == x[0] and a < x[2] and x[1] < b for x in found):
                 found.append((k, a, b, "added"))
-    return sorted(found)
+            elif any(k == x[0] and a <= x[1] and x[2] <= b and b - a > x[2] - x[1] for x in found):
+                wider.append((k, a, b))
+    return sorted(found), wider
+
+
+def find_in_text(text: str) -> list[tuple[int, int, int, str]]:
+    """(kind number, start, end, origin) by kind, then start. Plain spans all
+    stay; one found after rewriting is added unless a span of its kind that
+    stands already shares characters with it."""
+    return _found(text)[0]
 
 
 def find_identifiers(items: DataFrame, key: str = "item_id", text: str = "document") -> DataFrame:
@@ -245,8 +278,10 @@ def find_identifiers(items: DataFrame, key: str = "item_id", text: str = "docume
 
 def redact(text: str) -> str:
     """The text with every identifier replaced by its kind in brackets; spans
-    of different kinds that overlap are replaced as one, under the first kind."""
-    spans = sorted((s, e, k) for k, s, e, _ in find_in_text(text))
+    that overlap are replaced as one, under the first kind. A plain span goes
+    with the disguised words that belong to it."""
+    found, wider = _found(text)
+    spans = sorted([(s, e, k) for k, s, e, _ in found] + [(s, e, k) for k, s, e in wider])
     words, done = [], 0
     for s, e, k in spans:
         if s >= done:
