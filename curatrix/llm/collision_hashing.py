@@ -19,7 +19,7 @@ LINES = 64
 COLLISIONS = 0.55
 # Share of a segment verified before a query stops widening, and the least.
 VERIFY, VERIFY_LEAST = 0.2, 400
-# Vectors of a segment (their places fit 16 bits), queries of a block.
+# Vectors of a segment (places of up to 65,535 fit 16 bits), queries of a block.
 SEGMENT, QUERY_BLOCK = 16_384, 4096
 # First window, in standard deviations, and the factor of each widening.
 FIRST, WIDEN = 0.35, 1.2
@@ -38,8 +38,9 @@ class Segment:
         placed = (np.hstack([vectors, lift[:, None]]) @ self.lines).T
         order = np.argsort(placed, axis=1, kind="stable")
         self.sorted = np.take_along_axis(placed, order, axis=1)
-        self.place = np.empty(order.shape, dtype=np.uint16)
-        places = np.broadcast_to(np.arange(order.shape[1], dtype=np.uint16), order.shape)
+        self.kind = np.uint16 if len(vectors) < 1 << 16 else np.uint32
+        self.place = np.empty(order.shape, dtype=self.kind)
+        places = np.broadcast_to(np.arange(order.shape[1], dtype=self.kind), order.shape)
         np.put_along_axis(self.place, order, places, axis=1)
 
     def own(self, queries: np.ndarray) -> np.ndarray:
@@ -56,7 +57,7 @@ class Segment:
     def collisions(self, low: np.ndarray, size: np.ndarray) -> np.ndarray:
         """How many lines each vector of the segment collides on, for one query.
         A place below the window wraps round to a number beyond its size."""
-        inside = (self.place - low.astype(np.uint16)[:, None]) < size.astype(np.uint16)[:, None]
+        inside = (self.place - low.astype(self.kind)[:, None]) < size.astype(self.kind)[:, None]
         return inside.view(np.uint8).sum(axis=0, dtype=np.uint16)
 
 
@@ -69,7 +70,8 @@ def lifted(vectors: np.ndarray, longest: float) -> np.ndarray:
 def nearest_in_segment(
     query_ids, queries, ids, vectors, longest, k, lines, share, verify, seed
 ):
-    """(query id, id, inner product): up to k per query, exact products."""
+    """(query id, id, inner product): up to k ids per query, exact products; of
+    an id's vectors the best counts."""
     order = np.argsort(ids, kind="stable")
     ids, vectors = ids[order], vectors[order]
     # Directions of the queries decide the order; their lengths do not.
@@ -79,6 +81,9 @@ def nearest_in_segment(
     need = int(np.ceil(share * lines))
     enough = max(verify, k + 1)
     enough = min(enough, len(ids))
+    # With repeated ids, enough vectors need not be enough ids.
+    known = len(np.unique(ids))
+    repeated, wanted = known < len(ids), min(k + 1, known)
     first = FIRST * max(float(segment.sorted.std()), 1e-12)
     own = segment.own(asked)
     out, halves = [], []
@@ -90,13 +95,17 @@ def nearest_in_segment(
             later = []
             for i, q in enumerate(at.tolist()):
                 met = np.flatnonzero(segment.collisions(low[:, i], size[:, i]) >= need)
-                if len(met) < enough and (size[:, i] < len(ids)).any():
+                few = len(met) < enough or (repeated and len(np.unique(ids[met])) < wanted)
+                if few and (size[:, i] < len(ids)).any():
                     later.append(q)
                     continue
                 halves.append(half)
                 met = met[ids[met] != query_ids[q]]
                 score = vectors[met] @ queries[q]
-                best = np.lexsort((ids[met], -score))[:k]
+                best = np.lexsort((ids[met], -score))
+                if repeated:
+                    best = best[np.sort(np.unique(ids[met][best], return_index=True)[1])]
+                best = best[:k]
                 out.append((np.full(len(best), query_ids[q]), ids[met][best], score[best]))
             at, half = np.array(later, dtype=np.int64), half * WIDEN
 
@@ -152,10 +161,11 @@ def nearest_by_collisions(
 
     Vectors that are null, empty, zero, or hold a null or non-finite component
     take no part, nor do null keys; all vectors must be of one length. Rows of
-    equal key and vector count once each; empty tables give an empty result;
-    further columns are left out."""
-    asked = usable_vectors(queries, query_key, vector)
-    rows = usable_vectors(items, key, vector)
+    equal key and vector count once; of several vectors of an id, as query or
+    item, the best pair counts, so an id has one rank. Empty tables give an empty
+    result; further columns are left out."""
+    asked = usable_vectors(queries, query_key, vector).distinct()
+    rows = usable_vectors(items, key, vector).distinct()
     measured = rows.agg(
         F.count("*").alias("n"),
         F.max(F.aggregate("_vec", F.lit(0.0), lambda a, x: a + x * x)).alias("square"),
@@ -163,10 +173,10 @@ def nearest_by_collisions(
     parts = max(1, -(-measured["n"] // segment))
     query_parts = max(1, -(-asked.count() // query_block))
     longest = float(np.sqrt(measured["square"] or 1.0)) or 1.0
-    deal = lambda n, c: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    deal = lambda n: F.pmod(F.xxhash64("_key", "_vec"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    right = rows.select("*", deal(parts, "_key").alias("s"), every(query_parts).alias("b"))
-    left = asked.select("*", deal(query_parts, "_key").alias("b"), every(parts).alias("s"))
+    right = rows.select("*", deal(parts).alias("s"), every(query_parts).alias("b"))
+    left = asked.select("*", deal(query_parts).alias("b"), every(parts).alias("s"))
 
     def meet(a: pa.Table, b: pa.Table) -> pa.Table:
         if not a.num_rows or not b.num_rows:
@@ -182,6 +192,8 @@ def nearest_by_collisions(
         left.groupBy("s", "b")
         .cogroup(right.groupBy("s", "b"))
         .applyInArrow(meet, "_query long, _key long, score double")
+        .groupBy("_query", "_key")
+        .agg(F.max("score").alias("score"))
     )
     place = F.row_number().over(
         Window.partitionBy("_query").orderBy(F.desc("score"), F.asc("_key"))
