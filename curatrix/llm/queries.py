@@ -11,13 +11,16 @@ from . import (
     collision_hashing,
     decontaminate,
     deobfuscate,
+    infilling,
     language_model,
     licences,
+    packing,
     pieces,
     quality_crf,
     secret_scan,
     simhash,
     toxicity,
+    whitening,
 )
 from .common import count_kind, remainder, spans_text
 
@@ -144,10 +147,53 @@ def op9_lm_scoring(spark, sf_dir):
     )
 
 
+def vector_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The embeddings table as the catalogue's vectors: item_id, vector."""
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return table.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"))
+
+
 @query
 def op10_approximate_neighbours(spark, sf_dir):
-    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    items = table.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"))
+    items = vector_store(spark, sf_dir)
     queries = items.where(F.col("item_id") % 20 == 0).withColumnRenamed("item_id", "query_id")
     found = collision_hashing.nearest_by_collisions(queries, items, k=20)
     return found.select("query_id", "rank", F.col("item_id").alias("vec_id"), "score")
+
+
+@query
+def op11_embedding_whitening(spark, sf_dir):
+    found = whitening.whiten_vectors(vector_store(spark, sf_dir))
+    return found.select(
+        F.col("item_id").alias("vec_id"),
+        "component",
+        "n",
+        F.col("deviation").try_cast("long").alias("deviation"),
+        "whitened",
+        "explained",
+        "identity_error",
+    )
+
+
+@query
+def op12_fill_in_middle(spark, sf_dir):
+    found = infilling.infill_documents(catalogue(spark, sf_dir))
+    return found.select(
+        F.col("item_id").alias("doc_id"),
+        F.col("n_chars").alias("n"),
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+        F.sha2(infilling.restored(F.col("output"), F.col("form")).cast("binary"), 256).alias(
+            "restored_sha256"
+        ),
+    )
+
+
+ORACLE["op12_fill_in_middle"] = infilling.duckdb_sql("documents", "doc_id", "text")
+
+
+@query
+def op13_best_fit_packing(spark, sf_dir):
+    return packing.pack_documents(catalogue(spark, sf_dir)).withColumnRenamed("item_id", "doc_id")
