@@ -10,6 +10,7 @@ within their length and take the place that the plan has for that number."""
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -26,8 +27,8 @@ CAPACITY = 4096
 END = 1
 # Pieces of one length numbered in one group.
 PART = 65_536
-# Words whose ids a worker remembers.
-WORDS = 400_000
+# Words, and pre-tokens, whose ids a worker remembers.
+WORDS = 800_000
 _RANKS = 48
 
 
@@ -38,65 +39,109 @@ def tokenizer_path() -> str:
 
 
 class WordIds:
-    """Ids of texts by a tokenizer that works word by word and drops white
-    space: every distinct white-space word is encoded once and remembered. Words
-    to be encoded go to the tokenizer together, told apart by a mark that has
-    one id; words holding the mark or a special token are encoded alone."""
+    """Ids of texts by a tokenizer that lower-cases, works word by word, drops
+    white space and marks the last id of every pre-token by its end.
+
+    Distinct white-space words are encoded once and remembered. An ASCII word is
+    cut into its pre-tokens, which are remembered too; new ones go to the
+    tokenizer's merges together and are told apart by their ends. Other words go
+    to the whole tokenizer together, told apart by a mark that has one id. Words
+    that hold the mark or a special token are encoded alone."""
 
     MARK = "\U0001f3ac"
+    # Fixed value: the tokenizer's pre-tokens, as far as ASCII goes.
+    _CUT = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 
     def __init__(self, path: str):
         # Spark gives every task its core; the library would take all of them.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.whole = Tokenizer.from_file(path)
+        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.mark = self._alone(self.MARK)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[bytes, bytes] = {}
         if len(self.mark) != 4:
             raise ValueError("the tokenizer has no single id for the mark")
+        # For pre-tokens that are cut and in lower case already.
+        self.merges = Tokenizer.from_file(path)
+        self.merges.normalizer = normalizers.Sequence([])
+        self.merges.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(False, use_regex=False)]
+        )
+        vocabulary = self.whole.get_vocab()
+        self.ending = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ending[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.known: dict[bytes, bytes] = {}
+        self.parts: dict[bytes, bytes] = {}
 
     def _alone(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        ids = self.whole.encode(text, add_special_tokens=False).ids
         return np.array(ids, dtype="<u4").tobytes()
 
-    def _encode(self, words: list[bytes]) -> dict[bytes, bytes]:
-        found, together = {}, []
-        for w in words:
-            t = w.decode("utf-8", "replace")
-            if self.MARK in t or any(s in t for s in self.special):
-                found[w] = self._alone(t)
-            else:
-                together.append((w, t))
-        if together:
-            joined = f" {self.MARK} ".join(t for _, t in together)
-            batch = self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)
-            ids = np.array(batch[0].ids, dtype="<u4")
-            mark = np.frombuffer(self.mark, "<u4")[0]
-            ends = np.append(np.flatnonzero(ids == mark), len(ids)).tolist()
-            if len(ends) != len(together):
-                raise ValueError("the mark's id came out of another word")
-            held, start = ids.tobytes(), 0
-            for (w, _), end in zip(together, ends, strict=True):
-                found[w] = held[4 * start : 4 * end]
-                start = end + 1
+    @staticmethod
+    def _ids(tokenizer, text: str) -> np.ndarray:
+        (batch,) = tokenizer.encode_batch_fast([text], add_special_tokens=False)
+        return np.array(batch.ids, dtype="<u4")
+
+    @staticmethod
+    def _runs(words: list[bytes], ids: np.ndarray, ends: list[int], gap: int) -> dict[bytes, bytes]:
+        if len(ends) != len(words):
+            raise ValueError("words and runs of ids differ in number")
+        held, starts = ids.tobytes(), [0, *[e + gap for e in ends[:-1]]]
+        return {w: held[4 * a : 4 * b] for w, a, b in zip(words, starts, ends, strict=True)}
+
+    def _encode(self, words: set[bytes]) -> dict[bytes, bytes]:
+        plain = [w for w in words if w.isascii()]
+        other = {w: w.decode("utf-8", "replace") for w in words if not w.isascii()}
+        found = {}
+        joined = "\n".join(other.values())
+        if any(s in joined for s in (self.MARK, *self.special)):
+            for w, t in list(other.items()):
+                if any(s in t for s in (self.MARK, *self.special)):
+                    found[w] = self._alone(t)
+                    del other[w]
+        joined = b"\n".join(plain)
+        if any(s.encode() in joined for s in self.special):
+            for w in plain:
+                if any(s.encode() in w for s in self.special):
+                    found[w] = self._alone(w.decode())
+            plain = [w for w in plain if w not in found]
+        if other:
+            ids = self._ids(self.whole, f" {self.MARK} ".join(other.values()))
+            ends = np.flatnonzero(ids == np.frombuffer(self.mark, "<u4")[0])
+            found |= self._runs(list(other), ids, [*ends.tolist(), len(ids)], 1)
+        cuts = list(map(self._CUT.findall, map(bytes.lower, plain)))
+        asked = set().union(*cuts)
+        new = list(asked.difference(self.parts))
+        if new:
+            ids = self._ids(self.merges, b" ".join(new).decode())
+            fresh = self._runs(new, ids, (np.flatnonzero(self.ending[ids]) + 1).tolist(), 0)
+            parts = _together(self.parts, fresh, asked)
+        else:
+            parts = self.parts
+        at = parts.__getitem__
+        for w, cut in zip(plain, cuts, strict=True):
+            found[w] = at(cut[0]) if len(cut) == 1 else b"".join(map(at, cut))
         return found
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of every text."""
         # ASCII white space only: all of it ends a word for the tokenizer too.
         split = [t.split() for t in texts]
-        known = self.known
-        new = {w for words in split for w in words if w not in known}
-        fresh = self._encode(sorted(new)) if new else {}
-        if len(known) + len(fresh) <= WORDS:
-            known.update(fresh)
-            fresh = known
-        else:
-            fresh |= {w: known[w] for words in split for w in words if w in known}
+        asked = set().union(*split)
+        new = asked.difference(self.known)
+        known = _together(self.known, self._encode(new), asked) if new else self.known
         for words in split:
-            yield b"".join([fresh[w] for w in words])
+            yield b"".join(map(known.__getitem__, words))
+
+
+def _together(known: dict, fresh: dict, asked: set) -> dict:
+    """A table that holds all that is asked. Fresh entries are remembered until
+    there are WORDS; frequent ones come early."""
+    if len(known) + len(fresh) <= WORDS:
+        known.update(fresh)
+        return known
+    return fresh | {w: known[w] for w in asked if w in known}
 
 
 _OPEN: dict[str, WordIds] = {}

@@ -100,7 +100,8 @@ def test_awkward_vectors(spark):
     assert max(r.identity_error for r in rows) < 1e-9
     shares = sorted({r.explained for r in rows}, reverse=True)
     assert np.allclose(shares, values[:3] / values.sum())
-    assert len(set(rows)) == 3 * 30
+    # Projections of blocks of other sizes may differ in the last place.
+    assert len({(r.item_id, r.component, r.deviation, round(r.whitened, 9)) for r in rows}) == 3 * 30
 
 
 def test_tables_without_components(spark):
