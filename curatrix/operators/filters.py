@@ -14,8 +14,9 @@ from ..functions.text import (
     lowered_set,
 )
 from ..schema import with_intent
-from ..session import lookup_join, settle
+from ..session import settle
 from .grouping import top_k
+from .predicate_index import all_of, count_table, meet, none_of, pair_table, some_of, within
 
 # Title wording of series and sets, unreleased states, mature
 # keywords, and the languages the two later filters know.
@@ -110,75 +111,77 @@ def passes_filters(i: Column, hard_genres: str = "genres") -> Column:
     return out
 
 
-def _tagged(tag: str, values: Column) -> Column:
-    return F.transform(empty_if_null(values), lambda v: F.concat(F.lit(tag), v))
-
-
-def _item_keys() -> Column:
-    year = F.when(
-        F.col("release_year").isNotNull(), F.array(F.col("release_year").cast("string"))
-    )
-    return F.array_distinct(
-        F.filter(
-            F.concat(
-                _tagged("g:", lowered(F.col("genres"))),
-                _tagged("l:", F.col("languages")),
-                _tagged("y:", year),
-                F.array(F.lit("*")),
-            ),
-            lambda k: k.isNotNull(),
-        )
+# Item fields that filter and discovery clauses are on.
+LISTS = ["genres", "languages", "titles", "cast"]
+NUMBERS = ["release_year", "runtime_minutes"]
+DISCOVERY_LISTS = ["genres", "languages", "keywords", "cast", "directors"]
+DISCOVERY_NUMBERS = [*NUMBERS, "vote_count", "rating_value"]
+
+
+def filter_fields(items: DataFrame) -> DataFrame:
+    """(item_id, LISTS, NUMBERS) of items that are no series or set, as
+    filter_demands asks of them."""
+    plain = [~F.coalesce(c, F.lit("")).rlike(SERIES_PATTERN) for c in ("title", "original_title")]
+    return items.where(plain[0] & plain[1]).select(
+        "item_id",
+        lowered(F.col("genres")).alias("genres"),
+        "languages",
+        F.array(F.lower("title"), F.lower("original_title")).alias("titles"),
+        lowered(F.col("cast")).alias("cast"),
+        *[F.col(n).cast("double").alias(n) for n in NUMBERS],
     )
 
 
-def _query_keys(i: Column, hard_genres: str) -> Column:
-    wanted = empty_if_null(i[hard_genres])
-    code = language_code(i["language"])
-    return F.array_distinct(
-        F.when(
-            (F.size(wanted) > 0) & ~i["legacy_soft_genre"], _tagged("g:", lowered(wanted))
-        )
-        .when(code.isNotNull(), _tagged("l:", F.array(code)))
-        .when(
-            i["release_year"].isNotNull(),
-            _tagged("y:", F.array(i["release_year"].cast("string"))),
-        )
-        .otherwise(F.array(F.lit("*")))
+def filter_demands(i: Column, hard_genres: str = "genres") -> Column:
+    """passes_filters as clauses on filter_fields; what it tests of the item
+    alone is tested there."""
+    span, year = i["year_range"], i["release_year"]
+    avoid_g, avoid_t = lowered(i["avoid_genres"]), lowered(i["avoid_movies"])
+    banned = F.filter(
+        F.transform(i["exclusions"], lambda e: F.lower(F.trim(e))), lambda e: e != ""
     )
-
-
-def _met_by_facet(items: DataFrame, queries: DataFrame, hard_genres: str) -> DataFrame:
-    """Items with the queries they share an equality key with, each pair once.
-    The query side is written first: it is small, it is read by every pass,
-    and the filter then works on plain columns instead of on copies of the
-    rules the intent was derived by."""
-    keyed = queries.select(
-        "query_id", "intent", _query_keys(F.col("intent"), hard_genres).alias("_qk")
+    wanted = F.when(
+        F.coalesce(i["legacy_soft_genre"], F.lit(False)), F.array().cast("array<string>")
+    ).otherwise(lowered(empty_if_null(i[hard_genres])))
+    own = F.when(_asks_documentary(i), F.array().cast("array<string>")).otherwise(
+        F.array(F.lit("documentary"))
     )
-    keyed_queries = settle(keyed, "queries").withColumn("_key", F.explode("_qk"))
-    keyed_items = items.withColumn("_ik", _item_keys()).withColumn("_key", F.explode("_ik"))
-    met = lookup_join(keyed_items, keyed_queries, ["_key"], spread_by="item_id")
-    return met.where(F.get(F.array_intersect("_qk", "_ik"), 0) == F.col("_key")).drop(
-        "_key", "_qk", "_ik"
+    code = language_code(i["language"])
+    return all_of(
+        some_of("genres", wanted),
+        some_of("languages", F.when(code.isNotNull(), F.array(code))),
+        none_of("genres", F.concat(avoid_g, banned, own)),
+        none_of("titles", F.concat(avoid_t, banned)),
+        none_of("cast", banned),
+        within("release_year", F.greatest(span["start"], year), F.least(span["end"], year)),
+        within("runtime_minutes", high=i["runtime"]),
+        unless=avoid_g.isNull() | avoid_t.isNull() | banned.isNull() | F.exists(avoid_t, F.isnull),
     )
 
 
-def survivors(
+def matching_pairs(
     items: DataFrame, queries: DataFrame, hard_genres: str = "genres"
 ) -> DataFrame:
-    """Item rows with query_id and intent for each query they pass.
+    """(query_id, item_id) of every item that passes a query's filter, by the
+    index of query predicates. item_id and query_id are unique."""
+    # Written first: clauses then read an intent, not the rules it was derived by.
+    held = settle(queries.select("query_id", "intent"), "queries")
+    asked = held.select("query_id", filter_demands(F.col("intent"), hard_genres).alias("demands"))
+    return _pairs(filter_fields(items), asked, LISTS, NUMBERS)
 
-    Items reach queries over an equality key, the most selective facet the
-    query fixes (genre, else language, else exact year, else everything), and
-    the whole filter is applied on top. An item found over two keys of the
-    same query is kept on the first only, so no de-duplication shuffle."""
-    met = _met_by_facet(items, queries, hard_genres)
-    return met.where(passes_filters(F.col("intent"), hard_genres))
 
+def _pairs(fields: DataFrame, asked: DataFrame, lists: list[str], numbers: list[str]) -> DataFrame:
+    kinds = {**dict(fields.dtypes), **dict(asked.dtypes)}
+    schema = f"query_id {kinds['query_id']}, item_id {kinds['item_id']}"
+    return meet(settle(fields, "fields"), settle(asked, "demands"), lists, numbers, pair_table, schema)
 
-def _counted(items: DataFrame, queries: DataFrame) -> DataFrame:
-    found = survivors(items, queries).groupBy("query_id").agg(F.count("*").alias("_n"))
-    return queries.join(found, "query_id", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+
+def survivors(
+    items: DataFrame, queries: DataFrame, hard_genres: str = "genres"
+) -> DataFrame:
+    """Item rows with query_id and intent for each query they pass."""
+    pairs = matching_pairs(items, queries, hard_genres)
+    return items.join(pairs, "item_id").join(queries.select("query_id", "intent"), "query_id")
 
 
 def relax(
@@ -188,10 +191,31 @@ def relax(
     where that is less; a tiny catalogue may ask for one), plus the
     `relax_level` used: 0 as asked, 2 without genres, 3 also without years and
     runtime. People are not part of the filter, so the level in between that
-    drops them finds the same items and is not run. Each step only scans for
-    the queries still short of items."""
+    drops them finds the same items and is not run.
+
+    The three forms of a query are three queries of one index, so one pass over
+    the items counts them all."""
     threshold = min(min_results, limit)
+    queries = settle(queries, "queries")
     i = F.col("intent")
+    none, unset = F.array().cast("array<string>"), F.lit(None)
+    no_genres = with_intent(i, genres=none)
+    free = with_intent(i, genres=none, year_range=unset, runtime=unset)
+    forms = {0: i, 2: no_genres, 3: free}
+    demands = F.array(
+        *[F.struct(F.lit(n).alias("level"), filter_demands(f).alias("demands")) for n, f in forms.items()]
+    )
+    asked = queries.select("query_id", F.explode(demands).alias("d")).select(
+        F.struct("query_id", "d.level").alias("query_id"), "d.demands"
+    )
+    kind = dict(queries.dtypes)["query_id"]
+    counted = meet(
+        settle(filter_fields(items), "fields"), settle(asked, "demands"), LISTS, NUMBERS, count_table,
+        f"query_id struct<query_id:{kind},level:int>, n long",
+    )
+    found = counted.groupBy(F.col("query_id.query_id").alias("query_id")).agg(
+        *[F.sum(F.when(F.col("query_id.level") == n, F.col("n"))).alias(f"_n{n}") for n in (0, 2)]
+    )
     loosenable = (
         (F.size(i["preferred_actors"]) > 0)
         | (F.size(i["preferred_directors"]) > 0)
@@ -199,27 +223,14 @@ def relax(
         | i["year_range"].isNotNull()
         | i["runtime"].isNotNull()
     )
-    columns = queries.columns
-    short = F.col("_short")
-    first = settle(
-        _counted(items, queries).withColumn("_short", (F.col("_n") < threshold) & loosenable),
-        "relax",
-    )
-    if first.where(short).isEmpty():
-        return first.select(*columns, F.lit(0).alias("relax_level"))
-    none = F.array().cast("array<string>")
-    no_genres = first.where(short).withColumn("intent", with_intent(i, genres=none))
-    second = settle(
-        _counted(items, no_genres.select(columns)).withColumn("_short", F.col("_n") < threshold),
-        "relax",
-    )
-    span = F.lit(None)
-    level = lambda df, n: df.select(*columns, F.lit(n).alias("relax_level"))
-    third = second.where(short).withColumn("intent", with_intent(i, year_range=span, runtime=span))
+    short = lambda n: F.coalesce(F.col(f"_n{n}"), F.lit(0)) < threshold
+    level = F.when(~(short(0) & F.coalesce(loosenable, F.lit(False))), 0).when(~short(2), 2).otherwise(3)
+    loosened = F.when(F.col("relax_level") == 0, i).when(F.col("relax_level") == 2, no_genres).otherwise(free)
     return (
-        level(first.where(~short), 0)
-        .unionByName(level(second.where(~short), 2))
-        .unionByName(level(third, 3))
+        queries.join(settle(found, "relax"), "query_id", "left")
+        .withColumn("relax_level", level)
+        .withColumn("intent", loosened)
+        .select(*queries.columns, "relax_level")
     )
 
 
@@ -304,12 +315,22 @@ def strict_candidates(pairs: DataFrame) -> DataFrame:
     return judged.join(state, "query_id").where(F.col("_ok") | F.col("waived")).drop("_ok")
 
 
-def passes_discovery(i: Column) -> Column:
-    """Discovery conditions on our own item table: any wanted genre, no
-    avoided one, language, year or years, runtime, any keyword, any actor, any
-    director, and the floors of the ranking mode."""
-    genres = lowered_set(F.col("genres"))
-    people = lambda c: lowered_set(F.col(c))
+def discovery_fields(items: DataFrame) -> DataFrame:
+    """(item_id, DISCOVERY_LISTS, DISCOVERY_NUMBERS) as discovery_demands asks
+    of them. An item's language is its first one."""
+    return items.select(
+        "item_id",
+        *[lowered_set(F.col(n)).alias(n) for n in ("genres", "keywords", "cast", "directors")],
+        F.slice("languages", 1, 1).alias("languages"),
+        *[F.col(n).cast("double").alias(n) for n in NUMBERS],
+        *[F.coalesce(F.col(n).cast("double"), F.lit(0.0)).alias(n) for n in ("vote_count", "rating_value")],
+    )
+
+
+def discovery_demands(i: Column) -> Column:
+    """Discovery conditions on our own item table as clauses: any wanted genre,
+    no avoided one, language, year or years, runtime, any keyword, any actor,
+    any director, and the floors of the ranking mode."""
     mode = i["ranking_mode"]
     votes, rating = F.lit(DISCOVER_FLOORS[""][0]), F.lit(DISCOVER_FLOORS[""][1])
     for name, (v, r) in DISCOVER_FLOORS.items():
@@ -317,41 +338,46 @@ def passes_discovery(i: Column) -> Column:
             votes = F.when(mode == name, v).otherwise(votes)
             rating = F.when(mode == name, r).otherwise(rating)
     code = _code(i["language"], DISCOVER_LANGUAGES)
-    year, exact, span = F.col("release_year"), i["release_year"], i["year_range"]
-    words = lowered(F.concat(i["keywords"], i["themes"], i["moods"]))
-
-    def any_wanted(have, want):
-        return (F.size(want) == 0) | F.arrays_overlap(have, want)
-
-    return (
-        any_wanted(genres, lowered(i["genres"]))
-        & ~F.arrays_overlap(genres, lowered(i["avoid_genres"]))
-        & (code.isNull() | (F.get("languages", 0) == code))
-        & F.when(exact.isNotNull(), year == exact).otherwise(
-            (span["start"].isNull() | (year >= span["start"]))
-            & (span["end"].isNull() | (year <= span["end"]))
-        )
-        & (i["runtime"].isNull() | (F.col("runtime_minutes") <= i["runtime"]))
-        & any_wanted(people("keywords"), words)
-        & any_wanted(people("cast"), lowered(i["preferred_actors"]))
-        & any_wanted(people("directors"), lowered(i["preferred_directors"]))
-        & ((votes == 0) | (F.coalesce("vote_count", F.lit(0)) >= votes))
-        & ((rating == 0) | (F.coalesce("rating_value", F.lit(0.0)) >= rating))
+    exact, span = i["release_year"], i["year_range"]
+    avoid = lowered(i["avoid_genres"])
+    lists = {
+        "genres": lowered(i["genres"]),
+        "keywords": lowered(F.concat(i["keywords"], i["themes"], i["moods"])),
+        "cast": lowered(i["preferred_actors"]),
+        "directors": lowered(i["preferred_directors"]),
+    }
+    unknown = avoid.isNull()
+    for values in lists.values():
+        unknown = unknown | values.isNull()
+    return all_of(
+        *[some_of(field, values) for field, values in lists.items()],
+        some_of("languages", F.when(code.isNotNull(), F.array(code))),
+        none_of("genres", avoid),
+        within("release_year", F.coalesce(exact, span["start"]), F.coalesce(exact, span["end"])),
+        within("runtime_minutes", high=i["runtime"]),
+        within("vote_count", F.nullif(votes, F.lit(0))),
+        within("rating_value", F.nullif(rating, F.lit(0.0))),
+        unless=unknown,
     )
 
 
 def discover(
     items: DataFrame, queries: DataFrame, pages: int = 3, page_size: int = 20
 ) -> DataFrame:
-    """First pages per query by popularity, with `position` and `page`."""
-    kept = _met_by_facet(items, queries, "genres").where(passes_discovery(F.col("intent")))
+    """First pages per query by popularity, with `position` and `page`: item
+    rows with query_id and intent. Pairs carry the popularity alone until the
+    pages are known."""
+    queries = settle(queries.select("query_id", "intent"), "queries")
+    asked = queries.select("query_id", discovery_demands(F.col("intent")).alias("demands"))
+    pairs = _pairs(discovery_fields(items), asked, DISCOVERY_LISTS, DISCOVERY_NUMBERS)
     ranked = top_k(
-        kept,
+        pairs.join(items.select("item_id", "popularity"), "item_id"),
         ["query_id"],
         [F.col("popularity").desc_nulls_last(), F.asc("item_id")],
         pages * page_size,
         "position",
-    )
-    return ranked.withColumn(
+    ).drop("popularity")
+    paged = ranked.withColumn(
         "page", (F.floor((F.col("position") - 1) / page_size) + 1).cast("int")
     )
+    return items.join(paged, "item_id").join(queries.select("query_id", "intent"), "query_id")

@@ -36,22 +36,26 @@ def with_cosine(pairs: DataFrame, query_vectors: DataFrame) -> DataFrame:
     )
 
 
-def fuse(scored: DataFrame) -> DataFrame:
+def fuse(scored: DataFrame, bounds: DataFrame | None = None) -> DataFrame:
     """Add min-max norms per query and `fusion`. The bounds are a small
     aggregate joined back, not a window that would gather all candidates of a
-    query in one task. Scores and norms are rounded to DIGITS places before
+    query in one task; they are given, as (query_id, n, s0, s1, b0, b1), where
+    scored holds a part of the candidates only. Scores and norms are rounded to DIGITS places before
     anything is ranked by them: sums of doubles depend on the order in which a
     shuffle delivers them."""
     scored = scored.withColumns(
         {n: F.round(n, DIGITS) for n in ("semantic", "bm25", "metadata")}
     )
-    bounds = scored.groupBy("query_id").agg(
-        F.count("*").alias("_n"),
-        F.min("semantic").alias("_s0"),
-        F.max("semantic").alias("_s1"),
-        F.min("bm25").alias("_b0"),
-        F.max("bm25").alias("_b1"),
-    )
+    if bounds is None:
+        bounds = scored.groupBy("query_id").agg(
+            F.count("*").alias("n"),
+            F.min("semantic").alias("s0"),
+            F.max("semantic").alias("s1"),
+            F.min("bm25").alias("b0"),
+            F.max("bm25").alias("b1"),
+        )
+    ends = [F.round(e, DIGITS).alias(f"_{e}") for e in ("s0", "s1", "b0", "b1")]
+    bounds = bounds.select("query_id", F.col("n").alias("_n"), *ends)
     c = F.col
     return (
         scored.join(bounds, "query_id")

@@ -7,12 +7,12 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.documents import query_search_text, search_text
-from ..functions.scores import l2_normalise
+from ..functions.text import tokens
 from ..functions.understanding import pathway
-from ..operators.bm25 import bm25_scores
+from ..operators.block_scores import HybridScores
 from ..operators.diversity import diversify
-from ..operators.filters import relax, survivors
-from ..operators.fusion import fuse, metadata_match, with_cosine
+from ..operators.filters import relax
+from ..operators.fusion import fuse
 from ..operators.grouping import narrow_two_lists, top_k
 from ..operators.lookups import reference_items
 from ..operators.ranking import rank_candidates, with_weights
@@ -23,58 +23,34 @@ from ..session import settle
 STAGE_1, STAGE_2_HEAD, STAGE_2, AUDIT = 50, 10, 15, 100
 
 
-def text_scores(items: DataFrame, queries: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(item_id, bm25_by_query): BM25 of each item per query as a map, so the
-    scores join items once by id and never as (query, item) pairs. A map holds
-    at most one entry per query of the table."""
-    docs = items.select("item_id", search_text().alias("text"))
-    asked = queries.select(
-        "query_id", query_search_text(F.col("text"), F.col("intent")).alias("q")
-    )
-    scores = bm25_scores(docs, asked, "item_id", "text", "q", candidates=candidates)
-    return scores.groupBy("item_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("query_id", "bm25"))).alias("bm25_by_query")
-    )
-
-
-# What the filters and scores read; texts stay behind until the top is known.
-FACETS = [
-    "item_id", "title", "original_title", "genres", "keywords", "cast", "directors", "languages",
-    "release_year", "runtime_minutes",
-]
-
-
-def score_pairs(
+def hybrid_scores(
     items: DataFrame, queries: DataFrame, vectors: DataFrame, query_vectors: DataFrame,
     loosened: DataFrame | None = None,
-) -> DataFrame:
-    """(query, item) rows passing the filters, with semantic, bm25, metadata.
+) -> HybridScores:
+    """Scores of the items that pass each query's filter.
 
     Filters go by the loosened intents where they are given; scores always go
     by the intents as asked, so a genre that was dropped to find anything still
     counts in the text score and the metadata match.
 
     vectors(item_id, vector), query_vectors(query_id, vector). BM25 statistics
-    come from all items; only items with a vector are candidates. The scored
-    item table is written once, as the pairs over it are read twice: for the
-    bounds of the scores and for the scores."""
-    scored = text_scores(items, queries, vectors)
-    unit = vectors.select("item_id", l2_normalise(F.col("vector")).alias("vector"))
-    with_vector = settle(
-        items.select(*FACETS).join(unit, "item_id").join(scored, "item_id", "left"), "scored"
-    )
-    unit_queries = query_vectors.select(
-        "query_id", l2_normalise(F.col("vector")).alias("query_vector")
-    )
-    asked = queries.select("query_id", "intent").join(unit_queries, "query_id", "left")
-    passed = survivors(with_vector, queries if loosened is None else loosened)
-    pairs = with_cosine(passed.drop("intent"), asked)
-    bm25 = F.try_element_at("bm25_by_query", F.col("query_id"))
-    return (
-        pairs.withColumn("bm25", F.coalesce(bm25, F.lit(0.0)))
-        .withColumn("metadata", metadata_match(F.col("intent")))
-        .select("query_id", "intent", "item_id", "semantic", "bm25", "metadata")
+    come from all items; only items with a vector are candidates."""
+    # Written first: what reads an intent then does not run the rules behind it.
+    queries = settle(queries.select("query_id", "text", "intent"), "queries")
+    texts = settle(items.select("item_id", tokens(search_text()).alias("words")), "words")
+    asked = queries.select(
+        "query_id", query_search_text(F.col("text"), F.col("intent")).alias("q")
     )
+    return HybridScores(items, queries, loosened, vectors, query_vectors, texts, asked)
+
+
+def score_pairs(
+    items: DataFrame, queries: DataFrame, vectors: DataFrame, query_vectors: DataFrame,
+    loosened: DataFrame | None = None,
+) -> DataFrame:
+    """(query_id, item_id, semantic, bm25, metadata) of every pair that passes
+    the filters."""
+    return hybrid_scores(items, queries, vectors, query_vectors, loosened).pairs()
 
 
 def retrieve(
@@ -84,9 +60,8 @@ def retrieve(
     """Top k per query by fused score, `rank` added. queries(query_id, text,
     intent); items carry item_id and the item columns."""
     loose = relax(items, queries, limit).drop("relax_level") if relaxing else None
-    fused = fuse(score_pairs(items, queries, vectors, query_vectors, loose))
-    top = top_k(fused, ["query_id"], [F.desc("fusion"), F.asc("item_id")], k)
-    return items.join(top, "item_id")
+    top = hybrid_scores(items, queries, vectors, query_vectors, loose).top(k)
+    return items.join(top, "item_id").join(queries.select("query_id", "intent"), "query_id")
 
 
 def reference_vectors(
@@ -153,7 +128,8 @@ def audit(
         )
 
     top = top_k(fused, ["query_id"], [F.desc("fusion"), F.asc("item_id")], first)
-    stage_1 = settle(items.join(top, "item_id"), "stage")
+    stage_1 = items.join(top, "item_id").join(queries.select("query_id", "intent"), "query_id")
+    stage_1 = settle(stage_1, "stage")
     stage_2 = narrow_two_lists(stage_1, STAGE_2_HEAD, second)
     final = rank_and_diversify(stage_2, queries, limit)
     parts = [

@@ -62,7 +62,7 @@ NONE = "cast([] as varchar[])"
     + f"select q.query_id, i.item_id from asks q join items i on {filter_sql()}",
 )
 def p13(spark, sf):
-    return L.survivors(items(spark, sf), asks(spark, sf)).select("query_id", "item_id")
+    return L.matching_pairs(items(spark, sf), asks(spark, sf))
 
 
 RELAXED = f"""
