@@ -9,6 +9,7 @@ rewritten text; spans of the latter are mapped back to source characters."""
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -233,11 +234,24 @@ def _found(text: str) -> tuple[list[tuple[int, int, int, str]], list[tuple[int,
     wider = []
     out = rewrite(text)
     if out is not None:
+        # Spans of one kind never share characters, so starts and ends both rise.
+        starts: list[list[int]] = [[] for _ in KINDS]
+        ends: list[list[int]] = [[] for _ in KINDS]
+        for k, s, e in sorted(plain):
+            starts[k].append(s)
+            ends[k].append(e)
         for k, s, e in identifiers(out.text):
             a, b = out.source(s, e)
-            if not any(k == x[0] and a < x[2] and x[1] < b for x in found):
+            first = bisect_right(ends[k], a)
+            stop = bisect_left(starts[k], b, first)
+            if first == stop:
                 found.append((k, a, b, "added"))
-            elif any(k == x[0] and a <= x[1] and x[2] <= b and b - a > x[2] - x[1] for x in found):
+                starts[k].insert(first, a)
+                ends[k].insert(first, b)
+            elif any(
+                a <= starts[k][i] and ends[k][i] <= b and b - a > ends[k][i] - starts[k][i]
+                for i in range(first, stop)
+            ):
                 wider.append((k, a, b))
     return sorted(found), wider
 

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
+from test_shingle_sets import plain_kept
 
 import corpus_pipeline
 from curatrix.llm import collision_hashing, components, queries, simhash
@@ -190,9 +191,8 @@ def test_pipeline_keeps_what_plain_steps_keep(spark):
     ids = sorted(texts)
     scores = model.score([texts[i] for i in ids])
     kept = {i: texts[i] for i, s in zip(ids, scores, strict=True) if s >= quality_crf.THRESHOLD}
-    prints = {i: plain_fingerprint(t, corpus_pipeline.SHINGLE_WORDS) for i, t in kept.items()}
-    roots = plain_groups(prints, corpus_pipeline.RADIUS)
-    kept = {i: t for i, t in kept.items() if roots[i] == i}
+    first = plain_kept(kept)
+    kept = {i: t for i, t in kept.items() if i in first}
     tests = [decontaminate.normalise(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     kept = {i: t for i, t in kept.items() if not any(x in decontaminate.normalise(t) for x in tests)}
     kept = {i: deobfuscate.redact(t) for i, t in kept.items()}
