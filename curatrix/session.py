@@ -18,10 +18,16 @@ SALTS = 16
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the one the cluster names, else a
-    folder below the warehouse, which tables share anyway."""
+    folder below the warehouse, which tables share anyway. Executors on other
+    machines do not see a warehouse in the driver's own file system; there the
+    setting is demanded."""
     root = spark.conf.get(CHECKPOINT_KEY, None)
     if not root:
         root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+        where = spark._jvm.org.apache.hadoop.fs.Path(root)
+        scheme = where.getFileSystem(spark._jsc.hadoopConfiguration()).getUri().getScheme()
+        if scheme == "file" and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"set {CHECKPOINT_KEY}: the warehouse {root} is on this machine only")
     return root.rstrip("/")
 
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from .commits import WHOLE, CommitLog
+
+# Partition column of tables of buckets.
+BUCKET = "_bucket"
+
 
 def flat_lists(df: DataFrame, sep: str = "|") -> DataFrame:
     """List columns joined to text, for formats without nesting."""
@@ -42,83 +46,60 @@ def append_audit(audit: DataFrame, path: str) -> None:
 
 
 # --- versioned tables ------------------------------------------------------
-def new_version(df: DataFrame, table: str) -> str:
+def new_version(df: DataFrame, table: str, base: int | None = None) -> str:
     """Write a frame, which may be derived from the table itself, as the
     newest version of a table and return its path. Readers of the old version
-    are not disturbed and a failed write leaves it current."""
-    stamp = f"{int(time.time() * 1000):014d}-{uuid.uuid4().hex[:8]}"
-    path = f"{table}/version={stamp}"
-    df.write.parquet(path)
-    return path
+    are not disturbed and a failed write leaves it current. Versions follow the
+    numbers of the table's commit log. With base, the commit that the frame was
+    derived from, a version written by another in the meantime is a Conflict."""
+    log = CommitLog(df.sparkSession, table)
+    read = log.state()[0] if base is None else base
+    data = f"version={uuid.uuid4().hex}"
+    df.write.parquet(log.path(data))
+    log.commit(read, data, [WHOLE])
+    return log.path(data)
 
 
 def complete_versions(spark: SparkSession, table: str) -> list[str]:
-    """Names of the completely written versions of a table, oldest first."""
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    root = hadoop.Path(table)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return []
-    return sorted(
-        s.getPath().getName()
-        for s in fs.listStatus(root)
-        if s.getPath().getName().startswith("version=")
-        and fs.exists(hadoop.Path(s.getPath(), "_SUCCESS"))
-    )
+    """Names of the committed versions whose data are still there, oldest first."""
+    log = CommitLog(spark, table)
+    names = [log.manifest(n)["data"] for n in log.numbers()]
+    return [n for n in names if log.exists(n)]
 
 
 def current_version(spark: SparkSession, table: str) -> str | None:
-    """Path of the newest completely written version, null for none."""
-    done = complete_versions(spark, table)
-    return f"{table}/{done[-1]}" if done else None
+    """Path of the newest version of a table replaced as a whole, null for none."""
+    log = CommitLog(spark, table)
+    data = log.state()[1].get(WHOLE)
+    return log.path(data) if data else None
 
 
 def read_buckets(spark: SparkSession, table: str) -> DataFrame | None:
     """Rows of a table of buckets with their `_bucket`: of each bucket the
-    newest complete version that holds it. None while nothing was written."""
-    done = complete_versions(spark, table)
-    if not done:
-        return None
-    paths = [f"{table}/{v}" for v in done]
-    rows = spark.read.option("basePath", table).parquet(*paths)
-    newest = rows.groupBy("_bucket").agg(F.max("version").alias("version"))
-    # One row per bucket.
-    return rows.join(F.broadcast(newest), ["_bucket", "version"]).drop("version")
+    newest version that holds it. None while nothing was written."""
+    log = CommitLog(spark, table)
+    return log.read(log.state()[1], BUCKET)
 
 
 def merge_buckets(batch: DataFrame, table: str, keys: list[str], buckets: int, merge) -> None:
     """Merge a batch into a table of buckets: merge(rows) of the batch and of
-    the current rows of the buckets it touches becomes their newest version."""
-    spark = batch.sparkSession
+    the current rows of the buckets it touches becomes their newest version.
+    Where another writer replaced one of these buckets in the meantime, the
+    merge is done again on top of that, so neither is lost."""
+    log = CommitLog(batch.sparkSession, table)
     at = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
-    fresh = batch.withColumn("_bucket", at)
-    touched = [r[0] for r in fresh.select("_bucket").distinct().collect()]
+    fresh = batch.withColumn(BUCKET, at)
+    touched = [str(r[0]) for r in fresh.select(BUCKET).distinct().collect()]
     if not touched:
         return
-    stored = read_buckets(spark, table)
-    rows = fresh
-    if stored is not None:
-        rows = fresh.unionByName(stored.where(F.col("_bucket").isin(touched)))
-    stamp = f"{int(time.time() * 1000):014d}-{uuid.uuid4().hex[:8]}"
-    merged = merge(rows)
-    merged.write.partitionBy("_bucket").parquet(f"{table}/version={stamp}")
-    drop_superseded(spark, table)
-
-
-def drop_superseded(spark: SparkSession, table: str) -> None:
-    """Remove versions of which every bucket has been written twice since:
-    readers that began before the last merge keep what they read."""
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    fs = hadoop.Path(table).getFileSystem(spark._jsc.hadoopConfiguration())
-    seen: dict[str, int] = {}
-    for version in reversed(complete_versions(spark, table)):
-        path = hadoop.Path(f"{table}/{version}")
-        names = [s.getPath().getName() for s in fs.listStatus(path)]
-        names = [n for n in names if n.startswith("_bucket=")]
-        if all(seen.get(n, 0) >= 2 for n in names):
-            fs.delete(path, True)
-        for n in names:
-            seen[n] = seen.get(n, 0) + 1
+
+    def write(current: dict[str, str], path: str) -> None:
+        stored = log.read({b: d for b, d in current.items() if b in touched}, BUCKET)
+        rows = fresh if stored is None else fresh.unionByName(stored)
+        merge(rows).write.partitionBy(BUCKET).parquet(path)
+
+    log.replace(touched, write)
+    log.drop_superseded()
 
 
 def read_current(spark: SparkSession, table: str) -> DataFrame:

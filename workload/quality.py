@@ -74,6 +74,48 @@ def a5(spark, sf):
     return both.select("column", (off * 6 <= F.col("distinct_count") + 6).alias("near"))
 
 
+_MEASURED = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"]
+
+
+@query(
+    "v1_profile_of_batches",
+    " union all ".join(
+        f"""select '{c}' as "column", count(*) as n_rows, count(*) - count({c}) as missing,
+          {f"cast(min({c}) as double)" if c != "o_orderstatus" else "cast(null as double)"} as least,
+          {f"cast(max({c}) as double)" if c != "o_orderstatus" else "cast(null as double)"} as most,
+          true as near from orders"""
+        for c in _MEASURED
+    ),
+)
+def v1_batches(spark, sf):
+    """States of three batches of orders united: exact counts and ends, distinct
+    values within a tenth and the median's rank within a twentieth of the whole."""
+    from curatrix.operators import profile_state as P
+    from curatrix.session import scratch_path
+
+    rows = table(spark, sf, "orders").select(*_MEASURED)
+    path = scratch_path(spark, "profile")
+    for batch in range(3):
+        P.put_profile(rows.where(F.pmod("o_orderkey", F.lit(3)) == batch), path, batch)
+    found = P.read_profile(spark, path)
+    exact = P.column_values(rows).groupBy("column").agg(F.countDistinct("text").alias("exact"))
+    median = F.get("quantiles", 1)
+    ranks = (
+        P.column_values(rows).join(found.select("column", median.alias("median")), "column")
+        .groupBy("column")
+        .agg(
+            F.try_divide(F.count_if(F.col("number") <= F.col("median")), F.count("number")).alias("rank")
+        )
+    )
+    near = (F.abs(F.col("distinct") - F.col("exact")) * 10 <= F.col("exact") + 10) & (
+        F.col("rank").isNull() | (F.abs(F.col("rank") - 0.5) <= 0.05)
+    )
+    return found.join(exact, "column").join(ranks, "column").select(
+        "column", "n_rows", "missing", F.col("least_number").alias("least"),
+        F.col("most_number").alias("most"), near.alias("near"),
+    )
+
+
 @query(
     "a6_duplicate_rows",
     """with d as (select user_id, event_type from events)

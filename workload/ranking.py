@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 from curatrix.functions import scores as S
 from curatrix.functions.text import lowered_set
 from curatrix.operators import ranking as K
+from curatrix.operators.filters import matching_pairs
 from curatrix.session import settle
 
 from . import query
 from .fixtures import asks, cte, items
+from .retrieval import filter_sql
 
-_PAIRS = """
+_PAIRS = f"""
   , pairs as (select q.query_id, q.text, i.*, (i.item_id % 97) / 96.0 as semantic
-      from asks q join items i on list_has_any(i.keywords, q.keywords))
+      from asks q join items i on {filter_sql()})
   , p as (select i.*, q.* exclude (query_id, text, genres, keywords, directors),
       q.genres as q_genres,
       list_distinct(list_transform(coalesce(i.genres, []), lambda x: lower(x))) as g,
@@ -33,15 +35,10 @@ _PAIRS = """
 
 
 def pairs(spark, sf):
-    """Items sharing a keyword with a query, with a fixed semantic score."""
+    """Items that pass a query's filter, with a fixed semantic score."""
     q = settle(K.with_weights(asks(spark, sf)), "asks")
     i = settle(items(spark, sf), "items")
-    wanted = q.select("query_id", F.explode("intent.keywords").alias("w"))
-    hits = (
-        i.select("item_id", F.explode("keywords").alias("w"))
-        .join(wanted, "w").select("query_id", "item_id").distinct()
-    )
-    rows = hits.join(i, "item_id").join(q, "query_id")
+    rows = matching_pairs(i, q).join(i, "item_id").join(q, "query_id")
     return rows.withColumn("semantic", (F.col("item_id") % 97) / F.lit(96.0))
 
 
@@ -193,7 +190,7 @@ _PACING = (
       q.pacing, [case when i.item_id % 3 = 0 then 'twist' else 'x' end,
         case when i.item_id % 4 = 0 then 'puzzle' else 'y' end,
         case when i.item_id % 5 = 0 then 'atmospheric' when i.item_id % 5 = 1 then 'adrenaline'
-        else 'z' end] as k from asks q join items i on list_has_any(i.keywords, q.keywords))""",
+        else 'z' end] as k from asks q join items i on {filter_sql()})""",
 )
 def f31(spark, sf):
     i = F.col("item_id")
@@ -354,13 +351,13 @@ _RANKED = (
 
 @query(
     "r4_weighted_ranking_f34_r7",
-    _RANKED + f"""select query_id, item_id, round(score, 7) as score, round(boosted, 7) as boosted,
+    _RANKED + f"""select query_id, item_id, round(score, 10) as score, round(boosted, 7) as boosted,
       {_MATCH} as match_pct, {_EXPLAIN} as explanation from scored""",
 )
 def r4(spark, sf):
     done = K.rank_candidates(pairs(spark, sf))
     return done.select(
-        "query_id", "item_id", F.round("score", 7).alias("score"),
+        "query_id", "item_id", F.round("score", 10).alias("score"),
         F.round("boosted", 7).alias("boosted"), "match_pct", "explanation",
     )
 
@@ -463,18 +460,16 @@ _REASON = f"""case ranking_mode
     + ", m as (select *, "
     + ", ".join(f"{x} as p_{name}" for name, x in _PARTS.items())
     + f""" from p)
-      select query_id, item_id, floor(1e6 * greatest(0.0, {_PROFILE}
+      select query_id, item_id, round(greatest(0.0, {_PROFILE}
         + case when awards is not null and ranking_mode <> 'best' then 0.10 * p_award else 0 end
         + case when novelty = 'classic' and ranking_mode <> 'classic' then 0.15 * p_classic
           when novelty = 'recent' and ranking_mode <> 'recent' then 0.15 * p_recent else 0 end
-        - case when len(pg) > 0 and {n('pg', 'g')} = 0 then 0.5 else 0 end) + 0.503) / 1e6 as score,
+        - case when len(pg) > 0 and {n('pg', 'g')} = 0 then 0.5 else 0 end), 10) as score,
         {_REASON} as reason from m""",
 )
 def r5(spark, sf):
     done = K.profile_scores(pairs(spark, sf))
-    # Cut off the halves, where sums of different order may round apart.
-    score = F.floor(F.col("score") * 1e6 + 0.503) / 1e6
-    return done.select("query_id", "item_id", score.alias("score"), "reason")
+    return done.select("query_id", "item_id", F.round("score", 10).alias("score"), "reason")
 
 
 @query(

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from curatrix.functions import scores as S
 from curatrix.functions.text import tokens
-from curatrix.operators import bm25 as B
+from curatrix.operators import bm25 as B, cell_index as C, postings as P
 from curatrix.operators.grouping import top_k
 from curatrix.operators.vectors import nearest
+from curatrix.session import scratch_path
 from curatrix.sources.delimited import spread
 
 from . import query
@@ -28,14 +29,16 @@ def bm25_ctes(docs: str, asked: str) -> str:
     """CTEs from docs(id, text) and asked(query_id, text) to bm25(query_id,
     id, score)."""
     return f"""
-  b_tok as (select id, {toks('text')} as t from {docs}),
-  b_size as (select count(*) as n_docs, avg(len(t)) as avg_len from b_tok),
-  b_tf as (select id, len, term, count(*) as tf from (select id, len(t) as len,
+  b_tok as materialized (select id, {toks('text')} as t from {docs}),
+  b_size as materialized (select count(*) as n_docs, avg(len(t)) as avg_len from b_tok),
+  b_tf as materialized (select id, len, term, count(*) as tf from (select id, len(t) as len,
     unnest(t) as term from b_tok) group by id, len, term),
-  b_df as (select term, count(*) as df from b_tf group by term),
-  b_raw as (select term, df, ln(n_docs - df + 0.5) - ln(df + 0.5) as raw from b_df, b_size),
-  b_idf as (select term, df, case when raw < 0 then 0.25 * (select avg(raw) from b_raw)
-    else raw end as idf from b_raw),
+  b_df as materialized (select term, count(*) as df from b_tf group by term),
+  b_raw as materialized (select term, df, ln(n_docs - df + 0.5) - ln(df + 0.5) as raw
+    from b_df cross join b_size),
+  b_mean as materialized (select avg(raw) as mean from b_raw),
+  b_idf as materialized (select term, df, case when raw < 0 then 0.25 * mean else raw end as idf
+    from b_raw cross join b_mean),
   b_q as (select query_id, term, count(*) as qtf from (select query_id,
     unnest({toks('text')}) as term from {asked}) group by query_id, term),
   bm25 as (select q.query_id, f.id, sum(q.qtf * i.idf * f.tf * 2.5
@@ -68,18 +71,24 @@ def f19(spark, sf):
 _CORPUS = "with d as (select doc_id as id, text from documents), "
 
 
-@query(
-    "a24_corpus_statistics",
+_A24 = (
     _CORPUS + bm25_ctes("d", "(select item_id as query_id, text from benchmark)")
     + """select term, df, round(idf, 6) as idf, n_docs, round(avg_len, 6) as avg_len
-         from b_idf, b_size""",
+         from b_idf cross join b_size"""
 )
+
+
+@query("a24_corpus_statistics", _A24)
 def a24(spark, sf):
     docs = _docs(spark, sf)
     words = B.tokenised(docs, "doc_id", "text")
     size = B.corpus_size(words)
     freq = B.document_frequency(B.term_counts(words, "doc_id"))
     weights = B.term_weights(freq, size.select("n_docs").scalar())
+    return _statistics(weights, size)
+
+
+def _statistics(weights, size):
     return weights.select(
         "term",
         "df",
@@ -89,6 +98,13 @@ def a24(spark, sf):
     )
 
 
+@query("a24_statistics_after_changes", _A24)
+def a24_changed(spark, sf):
+    """Sums of signed changes equal the statistics of the documents as they are."""
+    index = _changed_index(spark, sf)
+    return _statistics(P.corpus_weights(spark, index), P.corpus_size(spark, index))
+
+
 def _benchmark(spark, sf):
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
@@ -105,16 +121,55 @@ def j15(spark, sf):
     return s.select("query_id", "doc_id", F.round("bm25", 6).alias("score"))
 
 
-@query(
-    "j15_bm25_top5",
+_TOP5 = (
     _BM25 + """select query_id, id as doc_id, rank, round(score, 6) as score from (select *,
       row_number() over (partition by query_id order by round(score, 9) desc, id) as rank
-      from bm25) where rank <= 5""",
+      from bm25) where rank <= 5"""
 )
+
+
+def _ranked(spark, sf, index):
+    top = P.rank_documents(_benchmark(spark, sf), index, k=5)
+    return top.select(
+        "query_id", F.col("id").alias("doc_id"), "rank", F.round("bm25", 6).alias("score")
+    )
+
+
+@query("j15_bm25_top5", _TOP5)
 def j15_top(spark, sf):
-    s = B.bm25_scores(_docs(spark, sf), _benchmark(spark, sf), "doc_id", "text", "text")
-    top = top_k(s, ["query_id"], [F.round("bm25", 9).desc(), F.asc("doc_id")], 5)
-    return top.select("query_id", "doc_id", "rank", F.round("bm25", 6).alias("score"))
+    """Ranks read from a stored index of all documents."""
+    index = scratch_path(spark, "index")
+    docs = _docs(spark, sf).select(
+        F.col("doc_id").alias("id"), F.lit(None).cast("string").alias("before"),
+        F.coalesce("text", F.lit("")).alias("after"),
+    )
+    P.put_batch(docs, index, 0)
+    return _ranked(spark, sf, index)
+
+
+def _changed_index(spark, sf):
+    """An index that came about by changes: drafts of all documents and all
+    pages come first; then every draft is replaced and every page removed."""
+    index = scratch_path(spark, "index")
+    null = F.lit(None).cast("string")
+    docs = _docs(spark, sf).select(
+        F.col("doc_id").alias("id"),
+        F.concat(F.coalesce("text", F.lit("")), F.lit(" first draft of the text")).alias("draft"),
+        F.coalesce("text", F.lit("")).alias("text"),
+    )
+    pages = table(spark, sf, "pages").select(
+        (-F.col("page_id") - 1).cast("long").alias("id"), F.coalesce("html", F.lit("")).alias("draft"),
+        null.alias("text"),
+    )
+    both = docs.unionByName(pages)
+    P.put_batch(both.select("id", null.alias("before"), F.col("draft").alias("after")), index, 0)
+    P.put_batch(both.select("id", F.col("draft").alias("before"), F.col("text").alias("after")), index, 1)
+    return index
+
+
+@query("j15_top5_after_changes", _TOP5)
+def j15_changed(spark, sf):
+    return _ranked(spark, sf, _changed_index(spark, sf))
 
 
 @query(
@@ -202,6 +257,24 @@ def j13_blocks(spark, sf):
     return found.select("query_id", "item_id", "rank", F.round("cosine", 6).alias("cosine"))
 
 
+@query(
+    "j13_recall_of_cells",
+    f"""select count(distinct query_id) as queries, count(*) as wanted, true as reached
+      from ({_knn_sql(10)})""",
+)
+def j13_cells(spark, sf):
+    """Neighbours of all items from a cell index against the exact ones: the
+    index holds two thirds of the vectors at first and the rest is added."""
+    v, path = vectors(spark, sf), scratch_path(spark, "cells")
+    late = F.pmod("item_id", F.lit(3)) == 2
+    C.build(v.where(~late), path)
+    C.add(v.where(late), path, 1)
+    asked = v.withColumnRenamed("item_id", "query_id")
+    found = C.search(asked, path, 10, skip_self=True)
+    measured = C.recall(found, nearest(asked, v, 10, skip_self=True))
+    return measured.select("queries", "wanted", (F.col("recall") >= 0.9).alias("reached"))
+
+
 @query(
     "j14_missing_vector_is_zero",
     cte("items")
