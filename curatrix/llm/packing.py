@@ -48,7 +48,7 @@ class WordIds:
     to the whole tokenizer together, told apart by a mark that has one id. Words
     that hold the mark or a special token are encoded alone."""
 
-    MARK = "\U0001f3ac"
+    MARK = "\0"
     # Fixed value: the tokenizer's pre-tokens, as far as ASCII goes.
     _CUT = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 
@@ -91,9 +91,12 @@ class WordIds:
         return {w: held[4 * a : 4 * b] for w, a, b in zip(words, starts, ends, strict=True)}
 
     def _encode(self, words: set[bytes]) -> dict[bytes, bytes]:
-        plain = [w for w in words if w.isascii()]
-        other = {w: w.decode("utf-8", "replace") for w in words if not w.isascii()}
-        found = {}
+        plain, other, found = [], {}, {}
+        for w in words:
+            if w.isascii():
+                plain.append(w)
+            else:
+                other[w] = w.decode("utf-8", "replace")
         joined = "\n".join(other.values())
         if any(s in joined for s in (self.MARK, *self.special)):
             for w, t in list(other.items()):
@@ -111,15 +114,15 @@ class WordIds:
             ends = np.flatnonzero(ids == np.frombuffer(self.mark, "<u4")[0])
             found |= self._runs(list(other), ids, [*ends.tolist(), len(ids)], 1)
         cuts = list(map(self._CUT.findall, map(bytes.lower, plain)))
-        asked = set().union(*cuts)
-        new = list(asked.difference(self.parts))
+        asked = list(set().union(*cuts))
+        table = dict(zip(asked, map(self.parts.get, asked), strict=True))
+        new = [p for p, ids in table.items() if ids is None]
         if new:
             ids = self._ids(self.merges, b" ".join(new).decode())
             fresh = self._runs(new, ids, (np.flatnonzero(self.ending[ids]) + 1).tolist(), 0)
-            parts = _together(self.parts, fresh, asked)
-        else:
-            parts = self.parts
-        at = parts.__getitem__
+            table.update(fresh)
+            _remember(self.parts, fresh)
+        at = table.__getitem__
         for w, cut in zip(plain, cuts, strict=True):
             found[w] = at(cut[0]) if len(cut) == 1 else b"".join(map(at, cut))
         return found
@@ -128,20 +131,23 @@ class WordIds:
         """Little-endian 32-bit ids of every text."""
         # ASCII white space only: all of it ends a word for the tokenizer too.
         split = [t.split() for t in texts]
-        asked = set().union(*split)
-        new = asked.difference(self.known)
-        known = _together(self.known, self._encode(new), asked) if new else self.known
+        asked = list(set().union(*split))
+        # A table of these texts' words alone is small enough to stay near.
+        table = dict(zip(asked, map(self.known.get, asked), strict=True))
+        new = {w for w, ids in table.items() if ids is None}
+        if new:
+            fresh = self._encode(new)
+            table.update(fresh)
+            _remember(self.known, fresh)
         for words in split:
-            yield b"".join(map(known.__getitem__, words))
+            yield b"".join(map(table.__getitem__, words))
 
 
-def _together(known: dict, fresh: dict, asked: set) -> dict:
-    """A table that holds all that is asked. Fresh entries are remembered until
-    there are WORDS; frequent ones come early."""
+def _remember(known: dict, fresh: dict) -> None:
+    """Fresh entries are remembered until there are WORDS; frequent ones come
+    early."""
     if len(known) + len(fresh) <= WORDS:
         known.update(fresh)
-        return known
-    return fresh | {w: known[w] for w in asked if w in known}
 
 
 _OPEN: dict[str, WordIds] = {}
