@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 SAME_COLLECTION, SIMILAR_TITLE, SHARED_CAST = 0.35, 0.25, 0.20
 SHARED_DIRECTOR, SAME_PERIOD, PERIOD_YEARS = 0.15, 0.05, 3
 SLOTS, LOOKAHEAD = 10, 15
+DIGITS = 10
 IGNORED_WORDS = {
     "the", "a", "of", "and", "in", "to", "for", "with", "part", "movie", "film",
 }
@@ -55,7 +56,8 @@ def _reorder(pdf: pd.DataFrame) -> pd.DataFrame:
     left, order = list(range(len(pdf))), []
     while left and len(order) < SLOTS:
         window = left[:LOOKAHEAD] if order else left[:1]
-        pick = max(window, key=lambda i: score[i] - lost[i])
+        # Rounded, so that equal values stay equal; of these the first wins.
+        pick = max(window, key=lambda i: round(score[i] - lost[i], DIGITS))
         order.append(pick)
         left.remove(pick)
         for i in left:

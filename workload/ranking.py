@@ -10,13 +10,14 @@ from curatrix.operators import ranking as K
 from curatrix.operators.filters import matching_pairs
 from curatrix.session import settle
 
-from . import query
+from . import ORACLE, query
 from .fixtures import asks, cte, items
-from .retrieval import filter_sql
+from .retrieval import filter_sql, fused_sql
 
 _PAIRS = f"""
   , pairs as (select q.query_id, q.text, i.*, (i.item_id % 97) / 96.0 as semantic
       from asks q join items i on {filter_sql()})
+""" + (_JOINED := """
   , p as (select i.*, q.* exclude (query_id, text, genres, keywords, directors),
       q.genres as q_genres,
       list_distinct(list_transform(coalesce(i.genres, []), lambda x: lower(x))) as g,
@@ -31,7 +32,7 @@ _PAIRS = f"""
       coalesce(i.popularity, 0) as pop
     from pairs i join (select * exclude (runtime), runtime as q_runtime from asks) q
       on q.query_id = i.query_id)
-"""
+""")
 
 
 def pairs(spark, sf):
@@ -337,16 +338,14 @@ _EXPLAIN = f"""case when ranking_mode = 'best' then 'Highly rated ' || {_PHRASE}
     else case when {_SHARED} <> '' then 'This movie ' || {_SHARED} || '.' else
       'Matches your interest in ' || {_PHRASE} || ' themes with strong audience appeal.' end end"""
 _BASE = " + ".join(f"greatest(0.0, w_{x}) / w_sum * ({s})" for x, s in _SIGNAL.items())
-_RANKED = (
-    cte("items", "asks") + _PAIRS
-    + f""", s as (select *, {_BASE} as base, {_BOOST} as boost, {_PENALTY} as penalty,
+_SCORED = f""", s as (select *, {_BASE} as base, {_BOOST} as boost, {_PENALTY} as penalty,
         {_RAW} as raw, {_SIGNAL['popularity']} as s_pop, {_SIGNAL['votes']} as s_votes,
         {_BOOSTED} as boosted from {_weights('pd').replace('{src}', 'p')})
       , scored as (select *, round(greatest(0.0, base + least(0.25, boost)
         - greatest(0.0, -w_popularity) * s_pop - greatest(0.0, -w_votes) * s_votes - penalty), 10)
         as score from s)
     """
-)
+_RANKED = cte("items", "asks") + _PAIRS + _SCORED
 
 
 @query(
@@ -480,3 +479,66 @@ def r5(spark, sf):
 def r7(spark, sf):
     rows = K.with_sets(pairs(spark, sf))
     return rows.select("query_id", "item_id", K.match_percentage(rows).alias("match_pct"))
+
+
+# --- the funnel, from retrieval to diversity --------------------------------
+_DIVERSE = r"""
+  , facts as (select query_id, score_rank as a, cast(score as double) as score,
+      lower(coalesce(collection_name, '')) as coll,
+      list_distinct(list_filter(string_split_regex(lower(coalesce(title, '')), '\s+'),
+        lambda x: x <> '')) as words,
+      list_distinct(coalesce(people, [])) as people,
+      list_distinct(coalesce(directors, [])) as directors, release_year as year from ranked)
+  , shared as (select x.query_id, x.a, y.a as b, x.coll <> '' and x.coll = y.coll as same_coll,
+      len(list_filter(list_intersect(x.words, y.words), lambda w: w not in ('the', 'a', 'of', 'and',
+        'in', 'to', 'for', 'with', 'part', 'movie', 'film'))) as n_words,
+      len(list_filter(x.words, lambda w: regexp_matches(w, '^[0-9]+$'))) as n_digits,
+      len(list_intersect(x.people, y.people)) as n_people,
+      len(list_intersect(x.directors, y.directors)) as n_directors,
+      x.year <> 0 and y.year <> 0 and abs(x.year - y.year) <= 3 as near
+    from facts x join facts y on x.query_id = y.query_id and x.a <> y.a)
+  , pen as (select query_id, a, b, (case when same_coll then 0.35 else 0.0 end)
+      + (case when n_words >= 2 or (n_words >= 1 and n_digits > 0) then 0.25 else 0.0 end)
+      + (case when n_people >= 2 then 0.20 else 0.0 end)
+      + (case when n_directors >= 1 then 0.15 else 0.0 end)
+      + (case when near then 0.05 else 0.0 end) as lost from shared)
+  , walk as (select distinct query_id, 1 as step, [cast(1 as bigint)] as chosen from facts
+    union all
+    select query_id, step + 1, list_append(chosen, arg_max(a, v - a * 1e-13)) from (
+      select w.query_id, w.step, w.chosen, c.a,
+        round(c.score - cast(coalesce(sum(p.lost), 0) as double), 10) as v
+      from walk w join facts c on c.query_id = w.query_id and not list_contains(w.chosen, c.a)
+      left join pen p on p.query_id = c.query_id and p.a = c.a and list_contains(w.chosen, p.b)
+      where w.step < 10 group by w.query_id, w.step, w.chosen, c.a, c.score)
+    group by query_id, step, chosen)
+  , best as (select query_id, arg_max(chosen, step) as chosen from walk group by query_id)
+  , placed as (select r.query_id, r.score_rank, case when list_contains(b.chosen, r.score_rank)
+        then list_position(b.chosen, r.score_rank) else 10 + row_number() over (
+          partition by r.query_id, list_contains(b.chosen, r.score_rank) order by r.score_rank) end
+      as position from ranked r join best b on b.query_id = r.query_id)
+"""
+
+
+def funnel_sql(select: str) -> str:
+    """Fused retrieval, the list of 15, weighted ranks and the greedy pass."""
+    short = """, shortlist as (select q.query_id, q.text, i.*, s.semantic from stage_2 s
+      join items i on i.item_id = s.item_id join asks q on q.query_id = s.query_id
+      where s.slot <= 15)"""
+    ranks = f""", ranked as (select *, row_number() over (partition by query_id
+      order by score desc, item_id) as score_rank, {_MATCH} as match_pct,
+      {_EXPLAIN} as explanation from scored)"""
+    body = fused_sql() + short + _JOINED.replace("from pairs i", "from shortlist i") + _SCORED + ranks
+    # The walk over chosen rows is recursive; the other CTEs are not touched by that.
+    return body.replace("with ", "with recursive ", 1) + _DIVERSE + select
+
+
+ORACLE["r6_diversity"] = funnel_sql(
+    """select r.query_id, r.item_id, p.position, r.score_rank from ranked r
+       join placed p on p.query_id = r.query_id and p.score_rank = r.score_rank"""
+)
+ORACLE["r3_funnel"] = funnel_sql(
+    """select r.query_id, p.position, r.item_id, r.title, round(r.score, 6) as score,
+         round(r.semantic, 6) as semantic, r.match_pct, r.explanation
+       from ranked r join placed p on p.query_id = r.query_id and p.score_rank = r.score_rank
+       where p.position <= 10"""
+)
