@@ -11,10 +11,12 @@ from ..functions.text import empty_if_null
 from ..schema import with_intent
 from ..session import lookup_join
 from .grouping import keep_one, top_k
+from .title_index import GRAM, TitleIndex, build_index, first_containing, grams
 
 # Fixed value: least similarity ratio of a fuzzy title match.
 CUTOFF = 0.88
-GRAM = 3
+# A piece of more titles than this is looked up together with a second one.
+HOT_TITLES = 512
 
 
 def contains_matches(items: DataFrame, needles: DataFrame, text: str) -> DataFrame:
@@ -27,23 +29,33 @@ def contains_matches(items: DataFrame, needles: DataFrame, text: str) -> DataFra
         "_gram", F.substring("needle", 1, GRAM)
     )
     low = F.lower(F.col(text))
-
-    def grams(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(low) - (n - 1)))
-        return F.transform(starts, lambda s: F.substr(low, s, F.lit(n)))
-
     # A short needle is its own key, so shorter grams are kept as well.
-    keys = F.array_distinct(F.concat(*[grams(n) for n in range(1, GRAM + 1)]))
+    keys = F.array_distinct(F.concat(*[grams(low, n) for n in range(1, GRAM + 1)]))
     spread = items.where(F.col(text).isNotNull()).withColumn("_gram", F.explode(keys))
     met = lookup_join(spread, needles, ["_gram"], spread_by="item_id")
     return met.where(F.lower(F.col(text)).contains(F.col("needle"))).drop("_gram")
 
 
-def autocomplete(items: DataFrame, needles: DataFrame, limit: int = 10) -> DataFrame:
-    """First items per query whose title contains the typed text, literally."""
+def completion_index(
+    items: DataFrame, limit: int = 10, needles: DataFrame | None = None
+) -> TitleIndex:
+    """Index that completes typed text to titles, in the order of titles."""
+    slim = items.select("item_id", "title", "release_year")
+    return build_index(slim, "title", ["title", "item_id"], limit, needles)
+
+
+def autocomplete(
+    items: DataFrame, needles: DataFrame, limit: int = 10, index: TitleIndex | None = None
+) -> DataFrame:
+    """First items per query whose title contains the typed text, literally.
+    With an index that was built before, items are not read."""
     typed = needles.select("query_id", F.lower(F.trim("text")).alias("needle"))
-    found = contains_matches(items.select("item_id", "title", "release_year"), typed, "title")
-    return top_k(found, ["query_id"], [F.asc("title"), F.asc("item_id")], limit).drop("needle")
+    index = index or completion_index(items, limit, typed)
+    if limit > index.keep:
+        raise ValueError(f"the index keeps {index.keep} titles per gram")
+    found = first_containing(index, typed).where(F.col("place") <= limit)
+    met = lookup_join(typed, found, ["needle"], spread_by="query_id")
+    return met.withColumnRenamed("place", "rank").drop("needle")
 
 
 def by_any_id(items: DataFrame, wanted: DataFrame, custom: str = "wiki_page") -> DataFrame:
@@ -67,8 +79,12 @@ def by_any_id(items: DataFrame, wanted: DataFrame, custom: str = "wiki_page") ->
                 F.struct(F.lit(3).alias("route"), F.col("key").alias("key")),
             )
         ).alias("f"),
-    ).select("query_id", "f.route", "f.key")
-    met = keyed.join(asked, ["route", "key"])
+    ).select("query_id", "f.route", "f.key").where(F.col("key").isNotNull())
+    # One winner per key, for keys that are asked only: a key shared by many
+    # items and asked by many queries is no product.
+    wanted_keys = asked.select("route", "key").distinct()
+    winners = keep_one(keyed, ["route", "key"], ["item_id"]).join(wanted_keys, ["route", "key"])
+    met = lookup_join(asked, winners, ["route", "key"], spread_by="query_id")
     return keep_one(met.drop("key"), ["query_id"], ["route", "item_id"])
 
 
@@ -102,9 +118,11 @@ def lookup_titles(items: DataFrame, queries: DataFrame) -> DataFrame:
         "query_id", "item_id", "title", F.lit("exact").alias("how")
     )
     rest = asked.join(exact.select("query_id"), "query_id", "left_anti")
-    near = contains_matches(slim, rest, "title")
-    near = near.withColumn("_r", -similarity(F.lower("title"), F.col("needle")))
-    near = keep_one(near, ["query_id"], ["_r", "item_id"])
+    # A title that holds the text has the text as its matching part, so the
+    # ratio 2 * text / (text + title) falls with the length of the title.
+    index = build_index(slim.select("item_id", "title"), "title", ["_n", "item_id"], 1, rest)
+    held = first_containing(index, rest).drop("place")
+    near = lookup_join(rest, held, ["needle"], spread_by="query_id")
     return exact.unionByName(
         near.select("query_id", "item_id", "title", F.lit("contains").alias("how"))
     )
@@ -119,13 +137,17 @@ def reference_items(items: DataFrame, queries: DataFrame, vectors: DataFrame) ->
     ).select("query_id", "pos", F.lower("title").alias("needle"))
     slim = items.select("item_id", "title")
     titled = slim.where(F.col("title").isNotNull()).withColumn("needle", F.lower("title"))
-    exact = keep_one(titled, ["needle"], ["item_id"]).join(asked, "needle").withColumn(
-        "how", F.lit(1)
-    )
-    inner = contains_matches(slim, asked, "title").withColumn("how", F.lit(2))
-    per_title = keep_one(
-        exact.unionByName(inner).drop("needle", "title"), ["query_id", "pos"], ["how", "item_id"]
+    needles = asked.select("needle").distinct()
+    exact = keep_one(titled, ["needle"], ["item_id"]).join(needles, "needle", "left_semi")
+    inner = first_containing(build_index(slim, "title", ["item_id"], 1, needles), needles)
+    found = keep_one(
+        exact.withColumn("how", F.lit(1))
+        .unionByName(inner.drop("place").withColumn("how", F.lit(2)))
+        .drop("title"),
+        ["needle"],
+        ["how", "item_id"],
     )
+    per_title = lookup_join(asked, found, ["needle"], spread_by="query_id").drop("needle")
     with_vector = per_title.join(vectors.select("item_id"), "item_id", "left_semi")
     return keep_one(with_vector, ["query_id"], ["pos"])
 
@@ -146,9 +168,10 @@ def _allowed_edits(length: Column) -> Column:
 
 
 def _segments(length: Column) -> Column:
-    """Even cut of a title into one piece more than the edits allowed:
-    structs (idx, start, len). At least one piece must survive unedited."""
-    pieces = _allowed_edits(length) + 1
+    """Even cut of a title into two pieces more than the edits allowed:
+    structs (idx, start, len). At least two pieces must survive unedited. A
+    title of one letter is one piece, which no edit may touch."""
+    pieces = F.least(_allowed_edits(length) + 2, length)
     bound = lambda i: F.floor(length * i / pieces).cast("int")
     return F.transform(
         F.sequence(F.lit(0), pieces - 1),
@@ -160,41 +183,63 @@ def _segments(length: Column) -> Column:
     )
 
 
-def fuzzy_titles(titles: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, title, ratio): the most similar title of ratio >= CUTOFF.
+def _keys(pieces: DataFrame, hot: DataFrame, owner: str) -> DataFrame:
+    """Keys under which the owner of pieces(owner, n, idx, piece) is found:
+    each cold piece by itself, and each two hot ones together."""
+    key = ["n", "idx", "piece"]
+    marked = lookup_join(pieces, hot, key, spread_by=owner, how="left")
+    alone = marked.where(F.col("_hot").isNull()).select(
+        owner, *key, F.lit(-1).alias("idx2"), F.lit("").alias("piece2")
+    )
+    # At most as many as a title has pieces, times their places in a query.
+    held = marked.where(F.col("_hot")).groupBy(owner, "n").agg(
+        F.collect_list(F.struct("idx", "piece")).alias("_all")
+    )
+    first = held.withColumn("_a", F.explode("_all"))
+    both = first.withColumn(
+        "_b", F.explode(F.filter("_all", lambda x: x["idx"] > F.col("_a.idx")))
+    ).select(
+        owner, "n", F.col("_a.idx").alias("idx"), F.col("_a.piece").alias("piece"),
+        F.col("_b.idx").alias("idx2"), F.col("_b.piece").alias("piece2"),
+    )
+    return alone.unionByName(both)
+
 
-    ratio = 2M/(a+b) bounds the edits by (1-CUTOFF)(a+b), so of the edits+1
-    pieces a title is cut into one occurs unchanged in the query, shifted by
-    no more than the edits. Titles and queries meet on (length, piece number,
-    piece text); the ratio is computed for those that meet only."""
+def title_pieces(titles: DataFrame) -> DataFrame:
+    """(title, n, idx, piece) of every different title of length n."""
     names = titles.select("title").where(F.length("title") > 0).distinct()
     cut = names.withColumn("n", F.length("title")).withColumn(
         "_s", F.explode(_segments(F.length("title")))
     )
-    index = cut.where(F.col("_s.len") > 0).select(
+    return cut.select(
         "title",
         "n",
         F.col("_s.idx").alias("idx"),
         F.substr(F.col("title"), F.col("_s.start"), F.col("_s.len")).alias("piece"),
     )
+
+
+def hot_pieces(pieces: DataFrame, most: int = HOT_TITLES) -> DataFrame:
+    """(n, idx, piece, _hot) of the pieces that more than `most` titles have."""
+    counted = pieces.groupBy("n", "idx", "piece").agg(F.count("*").alias("_c"))
+    return counted.where(F.col("_c") > most).select("n", "idx", "piece", F.lit(True).alias("_hot"))
+
+
+def _probes(texts: DataFrame) -> DataFrame:
+    """(text, n, idx, piece): for every admissible title length, what stands
+    in a text where a piece of such a title may lie."""
     m = F.length("text")
     lengths = F.sequence(
         F.greatest(F.lit(1), F.ceil(m * F.lit(CUTOFF / (2 - CUTOFF)) - 1e-9).cast("int")),
         F.greatest(F.lit(1), F.floor(m * F.lit((2 - CUTOFF) / CUTOFF) + 1e-9).cast("int")),
     )
-    asked = (
-        queries.select(F.trim("text").alias("text"))
-        .where(F.length("text") > 0)
-        .distinct()
-    )
-    probes = asked.withColumn("n", F.explode(lengths)).withColumn(
+    probes = texts.withColumn("n", F.explode(lengths)).withColumn(
         "_s", F.explode(_segments(F.col("n")))
-    )
-    probes = probes.where(F.col("_s.len") > 0).withColumn("_e", _allowed_edits(F.col("n")))
+    ).withColumn("_e", _allowed_edits(F.col("n")))
     # Where the piece may start in the query; empty when it cannot fit.
     first = F.greatest(F.lit(1), F.col("_s.start") - F.col("_e"))
     last = F.least(F.length("text") - F.col("_s.len") + 1, F.col("_s.start") + F.col("_e"))
-    probes = (
+    return (
         probes.withColumn("_a", first)
         .withColumn("_b", last)
         .where(F.col("_a") <= F.col("_b"))
@@ -207,7 +252,47 @@ def fuzzy_titles(titles: DataFrame, queries: DataFrame) -> DataFrame:
         )
         .distinct()
     )
-    met = index.join(probes, ["n", "idx", "piece"]).select("text", "title").distinct()
+
+
+def _most_similar(a: Column, b: Column) -> Column:
+    """Upper bound of the ratio of two texts, from the letters they share."""
+    letters = F.array_distinct(
+        F.transform(F.sequence(F.lit(1), F.length(a)), lambda i: F.substr(a, i, F.lit(1)))
+    )
+    times = lambda text, x: F.length(text) - F.length(F.replace(text, x, F.lit("")))
+    shared = F.aggregate(
+        letters, F.lit(0), lambda n, x: n + F.least(times(a, x), times(b, x))
+    )
+    return 2.0 * shared / (F.length(a) + F.length(b))
+
+
+def fuzzy_titles(titles: DataFrame, queries: DataFrame, hot: int = HOT_TITLES) -> DataFrame:
+    """(query_id, title, ratio): the most similar title of ratio >= CUTOFF.
+
+    ratio = 2M/(a+b) bounds the edits by (1-CUTOFF)(a+b), so of the edits+2
+    pieces a title is cut into two occur unchanged in the query, each shifted
+    by no more than the edits. Either one of the two is a piece of at most
+    `hot` titles, or both are hot and the two meet as a pair: no title is
+    lost, and a beginning that many titles share is never a key by itself.
+    Only titles that share two hot pieces can make a larger key.
+    The ratio is computed for those that meet and share enough letters. Null
+    and empty texts find nothing."""
+    if hot < 1:
+        raise ValueError("a piece of one title cannot be hot")
+    pieces = title_pieces(titles)
+    often = hot_pieces(pieces, hot)
+    asked = (
+        queries.select(F.trim("text").alias("text"))
+        .where(F.length("text") > 0)
+        .distinct()
+    )
+    met = (
+        _keys(pieces, often, "title")
+        .join(_keys(_probes(asked), often, "text"), ["n", "idx", "piece", "idx2", "piece2"])
+        .select("text", "title")
+        .distinct()
+        .where(_most_similar(F.col("title"), F.col("text")) >= CUTOFF - 1e-9)
+    )
     best = met.withColumn("ratio", similarity(F.col("title"), F.col("text"))).where(
         F.col("ratio") >= CUTOFF
     )
