@@ -9,10 +9,11 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from ..functions.scores import l2_normalise
 from ..operators.latest import last_write
-from ..operators.vectors import new_vectors
 from ..plans.embedding import encode_new
 from ..sources.sinks import merge_buckets
+from .keyed import first_per_key
 
 
 def file_stream(
@@ -55,6 +56,18 @@ def _stored(spark: SparkSession, store: str, schema: str, stream: str, batch_id:
     return rows.where(other).drop("stream", "batch")
 
 
+def stored_by_others(spark: SparkSession, store: str, schema: str, stream: str) -> DataFrame:
+    """Rows that other streams put into a store. Folders are picked by their
+    names; those of this stream are not opened."""
+    try:
+        rows = spark.read.schema(f"{schema}, stream string").parquet(store)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+    return rows.where(F.col("stream") != stream).drop("stream")
+
+
 def _store_batches(stream: DataFrame, store: str, checkpoint: str, schema: str, fresh) -> None:
     """Append what fresh(batch, stored) finds new. A batch writes a folder of
     its own, named by the stream's id and the batch number: a retried one
@@ -82,12 +95,24 @@ def build_vectors(
 def upsert_vectors(
     spark: SparkSession, vectors: DataFrame, store: str, checkpoint: str
 ) -> None:
-    """Append arriving vectors(item_id, vector) whose id is not stored."""
+    """Append arriving vectors(item_id, vector) whose id is not stored.
+
+    The ids that this stream has stored are state of the stream, hence a batch
+    reads none of its own files again; of other streams' files it reads the
+    ids. Of several rows of one id in one batch the smallest digest stays.
+    Rows without an id are left out."""
+    rows = vectors.select("item_id", l2_normalise(F.col("vector")).alias("vector"))
+    passed = first_per_key(rows.where(F.col("item_id").isNotNull()), "item_id")
 
-    def fresh(batch: DataFrame, done: DataFrame) -> DataFrame:
-        return new_vectors(batch, done, "item_id").select("item_id", "vector")
+    def each(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        name = _stream_id(session)
+        path = f"{store}/stream={name}/batch={batch_id}"
+        others = stored_by_others(session, store, "item_id long", name)
+        fresh = batch.join(others, "item_id", "left_anti")
+        fresh.write.mode("overwrite").parquet(path)
 
-    _store_batches(vectors, store, checkpoint, "item_id long, vector array<double>", fresh)
+    drain(passed, checkpoint, each)
 
 
 def read_store(spark: SparkSession, store: str) -> DataFrame:

@@ -10,6 +10,7 @@ from curatrix.session import scratch_path
 from curatrix.sources import sinks
 from curatrix.sources.delimited import spread
 from curatrix.streaming import incremental as S
+from curatrix.streaming.keyed import due_fetches
 
 from . import query
 from .fixtures import cte, full_items, items, log, table
@@ -254,3 +255,27 @@ def t3(spark, sf):
         S.compact_log(rows, store, f"{ckpt}-{part}", ["user_id", "movie_id"], ["ts", "event_id"])
     state = sinks.read_buckets(spark, store)
     return state.where(F.col("event_type") != "error").drop("ts", "_bucket")
+
+
+_TTL = 86_400
+
+
+@query(
+    "e6_stream_due_fetches",
+    f"""with recursive e as (select distinct user_id, cast(floor(epoch(ts)) as bigint) as s
+          from events where user_id is not null and ts is not null),
+        later as (select a.user_id, a.s, b.s as n from e a asof join e b
+          on a.user_id = b.user_id and a.s + {_TTL} < b.s),
+        due as (select user_id, min(s) as s from e group by user_id
+          union all select d.user_id, l.n from due d join later l
+          on l.user_id = d.user_id and l.s = d.s)
+        select user_id, s from due""",
+)
+def e6_due(spark, sf):
+    """Every event asks for its user's payload, which lives for a day: the
+    requests that must fetch it, found by a stream that remembers its keys."""
+    out, ckpt = scratch_path(spark, "due"), scratch_path(spark, "ckpt")
+    asked = _stream(spark, sf, "events").select("user_id", "ts")
+    due = due_fetches(asked, "user_id", "ts", _TTL)
+    S.drain(due, ckpt, lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}"))
+    return spark.read.parquet(out).select("user_id", F.unix_timestamp("ts").alias("s"))
