@@ -264,11 +264,11 @@ _TTL = 86_400
     "e6_stream_due_fetches",
     f"""with recursive e as (select distinct user_id, cast(floor(epoch(ts)) as bigint) as s
           from events where user_id is not null and ts is not null),
-        later as (select a.user_id, a.s, b.s as n from e a asof join e b
-          on a.user_id = b.user_id and a.s + {_TTL} < b.s),
+        later as (select user_id, s, min(s) over (partition by user_id order by s
+          range between {_TTL + 1} following and unbounded following) as n from e),
         due as (select user_id, min(s) as s from e group by user_id
           union all select d.user_id, l.n from due d join later l
-          on l.user_id = d.user_id and l.s = d.s)
+          on l.user_id = d.user_id and l.s = d.s where l.n is not null)
         select user_id, s from due""",
 )
 def e6_due(spark, sf):
