@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -196,6 +197,21 @@ def cleaning_report(raw: DataFrame, cleaned: DataFrame, table: str) -> DataFrame
     )
 
 
+def cleaning_reports(raw: dict[tuple[str, str], DataFrame]) -> DataFrame:
+    """The report of every known table that is given, one row each, by its
+    name `provider/table`. Counts come from the rows themselves, not from
+    metrics observed while they are written: these count a task again that
+    runs again after its executor was lost."""
+    reports = [
+        cleaning_report(raw[key], fn(raw[key]), "/".join(key))
+        for key, fn in CLEANERS.items()
+        if key in raw
+    ]
+    if not reports:
+        raise ValueError("no known table is given")
+    return reduce(DataFrame.unionByName, reports)
+
+
 def clean_provider(provider: str, raw: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """Clean every known table of a provider; absent tables are skipped."""
     return {

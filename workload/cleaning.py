@@ -525,40 +525,71 @@ def v7_plots(spark, sf):
     )
 
 
-_REPORTED = ["titles", "title_ratings", "metadata", "user_ratings"]
+# Source table -> the raw table that stands for it.
+_STANDS_FOR = {
+    ("imdb", "title.basics"): "titles", ("imdb", "title.ratings"): "title_ratings",
+    ("imdb", "title.principals"): "principals", ("imdb", "title.crew"): "crew",
+    ("imdb", "name.basics"): "names", ("tmdb", "movies_metadata"): "metadata",
+    ("tmdb", "credits"): "credits", ("tmdb", "keywords"): "keywords", ("tmdb", "links"): "links",
+    ("tmdb", "links_small"): "links", ("tmdb", "ratings_small"): "user_ratings",
+    ("movielens", "movies"): "movies", ("movielens", "ratings"): "user_ratings",
+    ("movielens", "tags"): "tags", ("movielens", "links"): "links",
+    ("wikipedia", "wiki_movie_plots"): "plots",
+}
+
+
+def _null(*values: str) -> str:
+    return " + ".join(f"(({v}) is null)::int" for v in values)
+
+
+# Raw table -> (rows kept, nulls of a raw row, nulls of a kept row), over the
+# columns that can be null or become it.
+_VOLUMES = {
+    "titles": (
+        "(select distinct * from raw_titles where titleType in ('movie', 'short', 'tvMovie'))",
+        _null("startYear", "endYear", "genres"),
+        _null(as_int("startYear"), "endYear", as_int("runtimeMinutes"), "genres"),
+    ),
+    "title_ratings": ("raw_title_ratings", "0", _null(as_int("numVotes", "bigint"))),
+    "principals": ("raw_principals", _null("characters"), _null("characters")),
+    "crew": ("raw_crew", _null("writers"), _null("writers")),
+    "names": (
+        "raw_names", _null("knownForTitles"), _null("knownForTitles", as_int("deathYear")),
+    ),
+    "metadata": (
+        "(select * from raw_metadata where regexp_matches(id, '^[0-9]+$'))",
+        _null("imdb_id", "overview", "original_language"),
+        _null("imdb_id", "overview", "original_language")
+        + " + (release_date not like '____-__-__')::int",
+    ),
+    "credits": ("raw_credits", "0", "0"),
+    "keywords": ("raw_keywords", "0", "0"),
+    "links": ("raw_links", _null("tmdbId"), _null("tmdbId")),
+    "user_ratings": ("raw_user_ratings", "0", _null("try_cast(rating as double)")),
+    "movies": ("raw_movies", "0", "(not regexp_matches(title, '[(][0-9]{4}[)]'))::int"),
+    "tags": ("raw_tags", _null("userId"), _null("userId")),
+    "plots": (
+        '(select distinct * from raw_plots)', _null('"Cast"', '"Plot"'), _null('"Cast"', '"Plot"'),
+    ),
+}
+
+
+def _volume_sql(key: tuple[str, str], name: str) -> str:
+    kept, before, after = _VOLUMES[name]
+    return f"""select '{"/".join(key)}' as "table", a.n as initial_rows, b.n as final_rows,
+        a.n - b.n as removed_rows, cast(greatest(0, b.k - a.k) as bigint) as null_corrections
+      from (select count(*) as n, coalesce(sum({before}), 0) as k from raw_{name}) a,
+        (select count(*) as n, coalesce(sum({after}), 0) as k from {kept}) b"""
 
 
 @query(
     "a22_cleaning_report",
-    cte("raw_titles", "raw_title_ratings", "raw_metadata", "raw_user_ratings")
-    + rf"""select 'titles' as "table", a.n as initial_rows, b.n as final_rows, a.n - b.n
-      as removed_rows, cast(greatest(0, b.nulls - a.nulls) as bigint) as null_corrections from
-      (select count(*) as n, sum((startYear is null)::int + (endYear is null)::int
-        + (genres is null)::int) as nulls from raw_titles) a,
-      (select count(*) as n, sum((({as_int('startYear')}) is null)::int + 1
-        + (({as_int('runtimeMinutes')}) is null)::int + (genres is null)::int) as nulls
-       from (select distinct * from raw_titles
-             where titleType in ('movie', 'short', 'tvMovie'))) b
-      union all
-      select 'title_ratings', count(*), count(*), 0,
-        cast(sum((({as_int('numVotes', 'bigint')}) is null)::int) as bigint)
-      from raw_title_ratings
-      union all
-      select 'metadata', a.n, b.n, a.n - b.n, cast(greatest(0, b.nulls - a.nulls) as bigint) from
-      (select count(*) as n, sum((imdb_id is null)::int + (overview is null)::int
-        + (original_language is null)::int) as nulls from raw_metadata) a,
-      (select count(*) as n, sum((imdb_id is null)::int + (overview is null)::int
-        + (original_language is null)::int + (release_date not like '____-__-__')::int)
-        as nulls from raw_metadata where regexp_matches(id, '^[0-9]+$')) b
-      union all
-      select 'user_ratings', count(*), count(*), 0,
-        cast(sum((try_cast(rating as double) is null)::int) as bigint) from raw_user_ratings""",
+    cte(*[f"raw_{n}" for n in _VOLUMES])
+    + "\nunion all ".join(_volume_sql(k, n) for k, n in _STANDS_FOR.items()),
 )
 def a22(spark, sf):
-    parts = [
-        C.cleaning_report(raw(spark, sf, n), cleaned(spark, sf, n), n) for n in _REPORTED
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    """All sixteen source tables."""
+    return C.cleaning_reports({k: raw(spark, sf, n) for k, n in _STANDS_FOR.items()})
 
 
 # --- conform ---------------------------------------------------------------
