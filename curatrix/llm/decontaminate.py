@@ -131,10 +131,17 @@ class TestItems:
         """(item number, distance, start, end): the nearest passage of each
         item within its budget, in the normalised text."""
         windows: dict[int, list[list[int]]] = {}
+        exact: dict[int, int] = {}
         if len(self.automaton):
             for last, (length, places) in self.automaton.iter(text):
                 for i, offset in places:
                     k, n = self.errors[i], len(self.patterns[i])
+                    if not k:
+                        # The only piece is the item: each hit stands for itself.
+                        start = last + 1 - n
+                        if i not in exact and self._whole_words(i, text, start, last + 1):
+                            exact[i] = start
+                        continue
                     a = last + 1 - length - offset - k
                     b = a + n + 2 * k
                     held = windows.setdefault(i, [])
@@ -144,8 +151,8 @@ class TestItems:
                         held[-1][1] = max(held[-1][1], b)
                     else:
                         held.append([a, b])
-        out = []
-        for i, held in sorted(windows.items()):
+        out = [(i, 0, at, at + len(self.patterns[i])) for i, at in exact.items()]
+        for i, held in windows.items():
             found = []
             for a, b in held:
                 at = max(0, a)
@@ -156,12 +163,12 @@ class TestItems:
                     break
             if found:
                 out.append((i, *min(found)))
-        return out
+        return sorted(out)
 
     def _whole_words(self, i: int, text: str, start: int, end: int) -> bool:
         if len(self.patterns[i]) >= LEAST_CHARS:
             return True
-        return text[start - 1 : start] in ("", " ") and text[end : end + 1] in ("", " ")
+        return text[max(0, start - 1) : start] in ("", " ") and text[end : end + 1] in ("", " ")
 
 
 def find_test_items(

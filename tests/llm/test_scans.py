@@ -305,3 +305,12 @@ def test_null_keys_stay(spark):
     df = spark.createDataFrame([(None, "a@b.cc token=abcdefgh9")], "item_id long, document string")
     assert secret_scan.find_secrets(df).first().item_id is None
     assert deobfuscate.find_identifiers(df).where(F.col("item_id").isNull()).count() == 1
+
+
+@pytest.mark.parametrize("text", ["foo bar", "foo bar foo", "foobar", "xfoo bar foo bar", "xfoo bar foo bary",
+                                  "foo barfoo bar foo bar", "a foo bar. foo bar", "foo foo bar"])
+def test_short_items_are_tried_at_every_place(text):
+    """Hits that touch, or stand next to ones that are no whole words."""
+    found = decontaminate.TestItems.build(["foo bar"], decontaminate.ERROR_RATE).matches(text)
+    want = [m.start(1) for m in re.finditer(r"(?<![^ ])(?=(foo bar)(?![^ ]))", text)]
+    assert found == [(0, 0, at, at + 7) for at in want[:1]]
